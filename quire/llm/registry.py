@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import balltree, mixing, sharding, warc
+from quire.llm import balltree, jaccard, language, mixing, sharding, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_resharding": sharding.query,
     "op4_balltree": balltree.query,
+    "op6_language": language.query,
+    "op7_jaccard": jaccard.query,
     "op9_warc": warc.query,
     "op10_mixing": mixing.query,
 }
