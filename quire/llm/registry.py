@@ -17,4 +17,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": mixing.query,
 }
 
-ORACLES: dict[str, str] = {"op4_balltree": balltree.ORACLE}
+ORACLES: dict[str, str] = {"op4_balltree": balltree.ORACLE, "op9_warc": warc.ORACLE}

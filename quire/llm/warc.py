@@ -23,7 +23,6 @@ import gzip
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,12 +36,9 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def payload_digest(html: Column) -> Column:
-    """Base32 SHA-1 of the UTF-8 bytes, bare."""
-
-    def digests(column: pd.Series) -> pd.Series:
-        return column.map(lambda x: base64.b32encode(hashlib.sha1(x.encode()).digest()).decode())
-
-    return F.pandas_udf(digests, "string")(html)
+    """Base32 SHA-1 of the UTF-8 bytes, bare: 20 bits of the hexadecimal digest at a time."""
+    parts = [F.lpad(F.conv(F.substring(F.sha1(html.cast("binary")), 5 * k + 1, 5), 16, 32), 4, "0") for k in range(8)]
+    return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
 def headers(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
@@ -51,6 +47,17 @@ def headers(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> D
     return pages.select(F.col(page_id).alias("page_id"), payload_digest(body).alias("payload_digest"), F.octet_length(body).cast("long").alias("payload_bytes"))
 
 
+def responses(found: DataFrame, least: int = 0) -> DataFrame:
+    """page_id, payload_digest and response (the id that holds the payload), distinct.
+
+    The response of a digest comes from a pre-aggregated maximum over headers, so that a
+    digest with very many rows meets in no task; the join splits large partitions.
+    """
+    found = found.where(F.col("payload_bytes") >= least).select("page_id", "payload_digest").distinct()
+    first = found.groupBy(F.col("payload_digest").alias("d")).agg(F.max("page_id").alias("response"))
+    return found.join(first, F.col("payload_digest") == F.col("d")).select("page_id", "payload_digest", "response")
+
+
 def _lines(*fields: tuple[str, object]):
     """Header lines; a null value leaves its line out."""
     return F.concat_ws("\r\n", *[F.concat(F.lit(f"{name}: "), value) for name, value in fields])
@@ -60,16 +67,17 @@ def _urn(column):
     return F.concat(F.lit("<urn:page:"), F.coalesce(column.cast("string"), F.lit("null")), F.lit(">"))
 
 
-def records(pages: DataFrame, least: int = 0, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def records(pages: DataFrame, files: int, least: int = 0, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """One string a page: a WARC response or revisit record without its end.
 
-    The response of a digest comes from a pre-aggregated maximum over headers, so that a
-    digest with very many rows meets in no task; the join splits large partitions.
+    Payloads are shuffled once, by id and digest into as many partitions as files, so
+    that rows of one payload spread.
     """
     body = F.coalesce(F.col(html), F.lit(""))
-    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), body.alias("html"), payload_digest(body).alias("payload_digest"), F.octet_length(body).cast("long").alias("payload_bytes"))
-    first = headers(pages, page_id, html).where(F.col("payload_bytes") >= least).groupBy(F.col("payload_digest").alias("d")).agg(F.max("page_id").alias("response"))
-    joined = rows.join(first, F.col("payload_digest") == F.col("d"), "left")
+    key = ("p", "payload_digest")
+    rows = pages.select(F.coalesce(F.col(page_id).cast("string"), F.lit("null")).alias("p"), F.col(page_id).alias("page_id"), F.col(url).alias("url"), body.alias("html"), payload_digest(body).alias("payload_digest"), F.octet_length(body).cast("long").alias("payload_bytes"))
+    known = responses(headers(pages, page_id, html), least).select(F.coalesce(F.col("page_id").cast("string"), F.lit("null")).alias("p"), "payload_digest", "response")
+    joined = rows.repartition(files, *key).join(known.repartition(files, *key), list(key), "left")
     revisit = F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))
     clean_url = F.regexp_replace("url", r"[\r\n]+", "%0A")
     head = _lines(
@@ -83,15 +91,14 @@ def records(pages: DataFrame, least: int = 0, page_id: str = "page_id", url: str
         ("Content-Type", F.lit("text/html")),
         ("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("payload_bytes").cast("string"))),
     )
-    return joined.select(F.concat(F.lit("WARC/1.1\r\n"), head, F.lit("\r\n\r\n"), F.when(revisit, "").otherwise(F.col("html"))).alias("value"), "page_id", F.when(revisit, 0).otherwise(F.col("payload_bytes")).alias("held"))
+    return joined.select(F.concat(F.lit("WARC/1.1\r\n"), head, F.lit("\r\n\r\n"), F.when(revisit, "").otherwise(F.col("html"))).alias("value"))
 
 
 def write_archives(pages: DataFrame, path: str, least: int = 0, file_bytes: int = FILE_BYTES, **names: str) -> None:
     """Writes gzip-compressed WARC files of about ``file_bytes`` payload bytes each."""
     total = pages.agg(F.coalesce(F.sum(F.octet_length(F.col(names.get("html", "html")))), F.lit(0)), F.count("*")).first()
     files = max(1, -(-total[0] // file_bytes), -(-total[1] // 100_000))
-    rows = records(pages, least, **names)
-    rows.repartition(files, F.xxhash64("page_id", "value")).select("value").write.option("lineSep", END).option("compression", "gzip").text(path)
+    records(pages, files, least, **names).write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -150,3 +157,19 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
     return resolved(read_archives(spark, path))
+
+
+ORACLE = """
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+), d AS (
+  SELECT page_id, payload_bytes, list_aggregate(list_transform(range(8), lambda k:
+    list_aggregate(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      CAST((CAST('0x' || substr(h, CAST(5 * k + 1 AS BIGINT), 5) AS BIGINT) >> s) & 31 AS BIGINT) + 1, 1)), 'string_agg', '')), 'string_agg', '') AS payload_digest
+  FROM p
+), m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to
+FROM m
+"""
