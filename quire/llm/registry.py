@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import balltree, jaccard, language, mixing, sharding, warc
+from quire.llm import balltree, decontaminate, jaccard, language, lines, mixing, pii, quality, sharding, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": pii.query,
+    "op2_line_dedup": lines.query,
     "op3_resharding": sharding.query,
     "op4_balltree": balltree.query,
+    "op5_decontamination": decontaminate.query,
     "op6_language": language.query,
     "op7_jaccard": jaccard.query,
+    "op8_quality": quality.query,
     "op9_warc": warc.query,
     "op10_mixing": mixing.query,
 }
