@@ -2,18 +2,20 @@
 
 A text's tokens are its distinct word shingles, as 64-bit hashes. Texts of equal token
 sets form a class; classes are compared, texts are not. For a threshold t and any total
-order of all tokens, two sets of similarity t or more share a token among the first
-n - ceil(t n) + 1 of each. Three such orders are used. All put frequent tokens last,
-by a bounded table of heavy tokens found in a first pass (which tokens are in it never
-changes the result), and differ in how they order the others. The first order's prefixes
-are joined by token; a pair stays a candidate only if it also shares prefix tokens under
-the second and the third, and only then are the whole sets intersected.
-
-Tokens held by up to ``small`` classes give pairs directly. Classes that share a token
-held by more (groups of near copies) form groups; a group is cut into hashed blocks of
-bounded size, and each pair of blocks is one task, which applies the three filters and
-intersects by products of 0/1 matrices, and hands on a spanning forest of the links that
-it finds. So no pairs of a large group become rows, and no link between classes is lost.
+order of all tokens, two sets of similarity t or more share at least l tokens among the
+first n - ceil(t n) + l of each; l grows with n, and the lesser l of a pair holds. Three
+such orders are used. All put frequent tokens last, by a bounded table of heavy tokens
+found in a first pass (which tokens are in it never changes the result), and differ in how
+they order the others.
+
+Prefixes under the first order are joined by token. Tokens held by up to ``small`` classes
+give pairs, kept if they share enough. A class with fewer than l tokens above that bound
+cannot have a partner that it shares only such tokens with; the others (groups of near
+copies) are linked by each such token to its least class. The groups so connected hold
+all similar pairs. Their whole sets are shipped once for each pair of blocks of a group,
+hashed blocks of bounded size; such a task applies the filters of all three orders,
+intersects what passes, and hands on a spanning forest of the links that it finds. So no
+pairs of a large group become rows, and no link between classes is lost.
 
 Defined results: words are split at ASCII white space and lower-cased A to Z only; with
 fewer words than the width, the whole sequence is the one token; a text without words
@@ -27,7 +29,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -45,6 +46,8 @@ BLOCK_CLASSES, BLOCK_TOKENS = 256, 1 << 18
 STEP, ORDERS = 1 << 20, 3
 #: Up to so many ids, a list of them is broadcast (8 bytes each).
 BROADCAST_IDS = 200_000
+#: Tokens in a prefix for each one that a partner must share, beyond the least prefix.
+SHARED = 12
 _SEEDS = np.array([0, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
@@ -96,7 +99,7 @@ class Orders:
     def prefixes(self, tokens: np.ndarray, orders: int = ORDERS) -> list[np.ndarray]:
         """The prefix of a set under each order, in that order."""
         n = len(tokens)
-        most = n - -(-self.percent * n // 100) + 1 if n else 0  # n - ceil(percent n / 100) + 1
+        most = n - -(-self.percent * n // 100) + shared_least(n) if n else 0  # n - ceil(percent n / 100) + l
         rank = self.ranks(tokens)
         light = tokens[rank == 0]
         out = []
@@ -111,6 +114,11 @@ class Orders:
         return out
 
 
+def shared_least(n):
+    """l: what a set of n tokens and a similar one of n or more share in their prefixes."""
+    return 1 + n // SHARED
+
+
 def digest(tokens: np.ndarray) -> tuple[int, int]:
     """Class of a set, and a second number by which equal classes of unequal sets show."""
     with np.errstate(over="ignore"):
@@ -169,15 +177,6 @@ def classify(docs: DataFrame, orders, width: int, salt: int) -> DataFrame:
     return docs.mapInArrow(each, "id long, cls long, proof long, n long, prefix array<long>")
 
 
-def _linked(a: np.ndarray, b: np.ndarray, orders: Orders) -> bool:
-    """Filters under every order, then the whole sets."""
-    for x, y in zip(orders.prefixes(a), orders.prefixes(b), strict=True):
-        if not np.isin(x, y, assume_unique=True).any():
-            return False
-    both = int(np.isin(a, b, assume_unique=True).sum())
-    return 100 * both >= orders.percent * (len(a) + len(b) - both)
-
-
 def _products(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of all sets of a task, by products of 0/1 matrices."""
     which = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -185,26 +184,33 @@ def _products(sets: list[np.ndarray]) -> np.ndarray:
     many = np.bincount(token) > 1
     number = np.cumsum(many) - 1
     which, token = which[many[token]], number[token[many[token]]]
+    if len(sets) == 2:  # what both hold, beside the sizes
+        return np.array([[len(sets[0]), many.sum()], [many.sum(), len(sets[1])]], np.float32)
+    wide = min(4096, int(many.sum()))
     out = np.zeros((len(sets), len(sets)), np.float32)
     order = np.argsort(token, kind="stable")
     which, token = which[order], token[order]
-    for lo in range(0, int(many.sum()), 4096):
-        a, z = np.searchsorted(token, [lo, lo + 4096])
-        m = np.zeros((len(sets), 4096), np.float32)
+    for lo in range(0, int(many.sum()), max(1, wide)):
+        a, z = np.searchsorted(token, [lo, lo + wide])
+        m = np.zeros((len(sets), wide), np.float32)
         m[which[a:z], token[a:z] - lo] = 1
         out += m @ m.T
     return out
 
 
-def block_links(cls: np.ndarray, sets: list[np.ndarray], orders: Orders) -> list[tuple[int, int]]:
+def block_links(cls: list[int], sets: list[np.ndarray], orders: Orders) -> list[tuple[int, int]]:
     """A spanning forest of the links among the classes of a task."""
     n = np.array([len(s) for s in sets])
     fit = 100 * np.minimum.outer(n, n) >= orders.percent * np.maximum.outer(n, n)
+    np.fill_diagonal(fit, False)
+    least = shared_least(np.minimum.outer(n, n))
     prefixes = [orders.prefixes(s) for s in sets]
     for k in range(ORDERS):
         if not fit.any():
             return []
-        fit &= _products([p[k] for p in prefixes]) > 0
+        fit &= _products([p[k] for p in prefixes]) >= least
+    if not fit.any():
+        return []
     both = _products(sets)
     fit &= 100 * both >= orders.percent * (np.add.outer(n, n) - both)
     root = list(range(len(n)))
@@ -220,7 +226,7 @@ def block_links(cls: np.ndarray, sets: list[np.ndarray], orders: Orders) -> list
         x, y = top(int(a)), top(int(b))
         if x != y:
             root[x] = y
-            out.append((int(cls[a]), int(cls[b])))
+            out.append((cls[a], cls[b]))
     return out
 
 
@@ -236,37 +242,30 @@ def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width:
         return similar(docs, text, doc_id, width, percent, small, salt + 1)
 
     # Tokens that several classes hold in their prefixes. A class met in several tasks
-    # comes several times, next to itself.
-    posted = rows.where("prefix is not null").select("cls", "n", F.posexplode("prefix").alias("pos", "token"))
+    # comes several times, so m may count too many: then a token counts as held by more.
     by_token = Window.partitionBy("token")
-    shared = posted.withColumn("lo", F.min("cls").over(by_token)).withColumn("hi", F.max("cls").over(by_token)).where("lo <> hi")
-    shared, _ = written(shared.select("token", "cls", "n", "pos", "lo").distinct(), "postings")
-    held = shared.groupBy("token").agg(F.count("*").alias("m"))
-    shared = shared.join(held, "token")
-
-    few = shared.where(F.col("m") <= small).select("token", "cls", "n", "pos")
-    a, b = few.select(*[F.col(c).alias(f"{c}_a") for c in few.columns]), few.select(*[F.col(c).alias(f"{c}_b") for c in few.columns])
-    # Before a shared token the sets can share no more than the lesser position, from it on
-    # no more than the lesser rest.
-    most = F.least("pos_a", "pos_b") + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
-    near = (
-        (F.col("token_a") == F.col("token_b"))
-        & (F.col("cls_a") < F.col("cls_b"))
-        & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        & ((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b")))
-    )
-    pairs, _ = written(a.join(b, near).select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct(), "pairs")
-
-    many = shared.where(F.col("m") > small)
-    groups = components(many.select(F.col("lo").alias("a"), F.col("cls").alias("b")))
+    posted = rows.where("prefix is not null").select("cls", "n", F.explode("prefix").alias("token"))
+    held = posted.withColumn("least", F.min("cls").over(by_token)).withColumn("most", F.max("cls").over(by_token)).withColumn("m", F.count("*").over(by_token))
+    shared, _ = written(held.where("least <> most").select("token", "cls", "n", "m").distinct(), "postings")
+    few, many = shared.where(F.col("m") <= small), shared.where(F.col("m") > small)
+    hot = many.groupBy("cls").agg(F.count("*").alias("hot"))
+    known = few.join(hot, "cls", "left").select("token", "cls", "n", F.coalesce("hot", F.lit(0)).alias("hot"))
+    a, b = (known.select(*[F.col(c).alias(f"{c}_{x}") for c in known.columns]) for x in "ab")
+    near = (F.col("token_a") == F.col("token_b")) & (F.col("cls_a") < F.col("cls_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    found = a.join(b, near).groupBy(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).agg(F.count("*").alias("found"), F.first(F.least("n_a", "n_b")).alias("n"), F.first(F.least("hot_a", "hot_b")).alias("hot"))
+    enough = F.greatest(F.lit(1), 1 + F.floor(F.col("n") / SHARED) - F.col("hot"))
+    pairs = found.where(F.col("found") >= enough).select("a", "b")
+    # A partner may have as few as percent of the tokens, and so a lesser l.
+    dense = many.join(hot, "cls").where(F.col("hot") >= 1 + F.floor(F.floor(F.col("n") * percent / 100) / SHARED)).select("token", "cls")
+    first = dense.groupBy("token").agg(F.min("cls").alias("a"))
+    groups = components(pairs.union(dense.join(first, "token").where("a <> cls").select("a", F.col("cls").alias("b")).distinct()))
     sized = groups.join(classes, F.col("node") == F.col("cls")).select("root", "node", "n")
     blocks = sized.groupBy(F.col("root").alias("r")).agg(F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"))
     placed, _ = written(sized.join(blocks, F.col("root") == F.col("r")).select(F.col("node").alias("cls"), "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")), "blocks")
 
     # The sets of the classes that are compared at all, from one text of each.
-    compared = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(placed.select("cls")).distinct()
     no_id = F.lit(-(2**63))
-    wanted, _ = written(classes.join(compared, "cls", "left_semi").select(F.coalesce("first", no_id).alias("key"), F.col("cls").alias("want")), "wanted")
+    wanted, _ = written(classes.join(placed.select("cls"), "cls", "left_semi").select(F.coalesce("first", no_id).alias("key"), F.col("cls").alias("want")), "wanted")
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     texts = narrow.withColumn("key", F.coalesce("id", no_id)).join(wanted, "key").select("want", "text")
 
@@ -279,27 +278,32 @@ def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width:
                     sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(sets, pa.binary())], names=["cls", "tokens"])
 
-    sets, _ = written(texts.mapInArrow(gather, "cls long, tokens binary").dropDuplicates(["cls"]), "sets")
+    sets = texts.mapInArrow(gather, "cls long, tokens binary").dropDuplicates(["cls"])
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    met = placed.select("cls", "root", "block", other).select("cls", "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    key = ["root", "i", "j"]
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         o = orders.value
-        for batch in batches:
-            ok = [_linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), o) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        now, cls, held = None, [], []
 
-    left = sets.select(F.col("cls").alias("a"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("cls").alias("b"), F.col("tokens").alias("y"))
-    links = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+        def links() -> pa.RecordBatch:
+            found = block_links(cls, held, o) if len(cls) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
-    def compare(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        found = block_links(part["cls"].to_numpy(np.int64), [np.frombuffer(x, np.uint64) for x in part["tokens"]], orders.value)
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
-
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    met = placed.select("cls", "root", "block", other).select("cls", "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    within = met.join(sets, "cls").groupBy("root", "i", "j").applyInPandas(compare, "a long, b long")
-
-    roots = components(links.union(within))
+        for batch in batches:
+            roots, i, j, names = (batch.column(k).to_pylist() for k in range(4))
+            for k, (task, name) in enumerate(zip(zip(roots, i, j, strict=True), names, strict=True)):
+                if task != now:
+                    if len(cls) > 1:
+                        yield links()
+                    now, cls, held = task, [], []
+                cls.append(name)
+                held.append(np.frombuffer(batch.column(4)[k].as_py(), np.uint64))
+        yield links()
+
+    links = met.join(sets, "cls").select(*key, "cls", "tokens").repartition(*key).sortWithinPartitions(*key).mapInArrow(compare, "a long, b long")
+    roots = components(links)
     labelled = classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))
     least = labelled.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("component_id"))
     named = labelled.join(least, F.col("root") == F.col("r")).select(F.col("cls").alias("class_id"), "component_id")
@@ -308,5 +312,23 @@ def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width:
     return joined.union(alone).select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), "component_id", "class_id")
 
 
+def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options: int) -> DataFrame:
+    """Of each group of linked documents, the one of the smallest id, once; all columns stay.
+
+    Rows without tokens are linked with nothing and stay, as do rows without an id.
+    """
+    mine = F.col(doc_id) == F.col("component_id")
+    found, _ = written(similar(docs, text, doc_id, **options).where(f"{doc_id} is not null").groupBy(F.col(doc_id).alias("__id")).agg(F.max(mine).alias("first"), F.count("*").alias("rows")), "kept")
+    rows = docs.join(found.where("not first").select("__id"), F.col(doc_id) == F.col("__id"), "left_anti")
+    # Rows of one id are one document here: the first in a fixed order stays.
+    again = found.where("first and rows > 1").select("__id")
+    doubled, _ = written(again, "again")
+    if not doubled.limit(1).count():
+        return rows
+    order = Window.partitionBy(doc_id).orderBy(F.xxhash64(text), text, *[c for c in docs.columns if c not in (text, doc_id)])
+    several = rows.join(doubled, F.col(doc_id) == F.col("__id"), "left_semi").withColumn("__n", F.row_number().over(order)).where("__n = 1").select(*docs.columns)
+    return rows.join(doubled, F.col(doc_id) == F.col("__id"), "left_anti").union(several)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar(table(spark, sf_dir, "documents").select("doc_id", "text"))
