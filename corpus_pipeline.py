@@ -1,12 +1,60 @@
-"""Corpus preparation in stages, each written as Parquet and read by the next."""
+"""Corpus preparation in stages, each written as Parquet and read by the next.
+
+1. language: texts in a language that naive Bayes knows and is sure of stay.
+2. near_duplicates: of documents linked by word shingles (five words, similarity 0.8), the
+   one with the smallest id stays.
+3. decontaminate: documents that hold a benchmark item go.
+4. mix: sources are drawn to target weights; a document comes as often as it is taken.
+5. shard: the mix is dealt to shards of near equal size with the fewest bytes moved.
+
+All but the last stage return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from quire.llm import decontaminate, jaccard, language, mixing, sharding
+from quire.llm.common import table, written
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language.keep_identified(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.keep_first(docs, width=5, percent=80)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.drop_found(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.apply(docs, mixing.schedule(docs))
+
+
+def deal_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sharding.reshard(docs, sharding.NEW_SHARDS)
+
+
+STAGES = [
+    ("language", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontaminate", drop_benchmark),
+    ("mix", mix_sources),
+    ("shard", deal_shards),
+]
+
+#: Training a classifier, components and BM25 are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over documents."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs, _ = written(docs, f"stage-{name}")
+    return docs
