@@ -319,7 +319,8 @@ def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **op
     """
     mine = F.col(doc_id) == F.col("component_id")
     found, _ = written(similar(docs, text, doc_id, **options).where(f"{doc_id} is not null").groupBy(F.col(doc_id).alias("__id")).agg(F.max(mine).alias("first"), F.count("*").alias("rows")), "kept")
-    rows = docs.join(found.where("not first").select("__id"), F.col(doc_id) == F.col("__id"), "left_anti")
+    # Texts are shuffled once at any size and not sorted; the other side is ids.
+    rows = docs.join(found.where("not first").select("__id").hint("shuffle_hash"), F.col(doc_id) == F.col("__id"), "left_anti")
     # Rows of one id are one document here: the first in a fixed order stays.
     again = found.where("first and rows > 1").select("__id")
     doubled, _ = written(again, "again")

@@ -111,7 +111,9 @@ def partners(listed: DataFrame, rare: int = RARE) -> DataFrame:
     key = F.struct("id", "version")
     held = listed.select(key.alias("doc"), F.explode(F.arrays_zip("lines", "chars")).alias("x")).select("doc", F.col("x.lines").alias("line"), F.col("x.chars").alias("chars")).where("line is not null")
     once = held.groupBy("doc", "line").agg(F.sum("chars").alias("chars"))
-    holders = once.groupBy("line").agg(F.count("*").alias("df"), F.min("doc").alias("first")).where("df > 1")
+    # Written, so that the join reads both sides from shuffles of their own and can split a
+    # very common line.
+    holders, _ = written(once.groupBy("line").agg(F.count("*").alias("df"), F.min("doc").alias("first")).where("df > 1"), "holders")
     shared = once.join(holders, "line")
     by_doc = Window.partitionBy("doc")
     size = listed.select(key.alias("doc"), F.aggregate("chars", F.lit(0), lambda a, x: a + x).alias("size"))
@@ -146,7 +148,8 @@ def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rare: int
     """docs with ``text`` cleaned, and n_lines, n_removed, removed (ranges from-to, by comma)."""
     docs = without(docs, "n_lines", "n_removed", "removed")
     found, _ = written(common_blocks(docs, doc_id, text, rare, least).withColumnRenamed("id", "__id").withColumnRenamed("version", "__version"), "blocks")
-    joined = docs.join(found, F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__version")), "left").drop("__id", "__version")
+    # Texts are shuffled once at any size and not sorted; the other side is short ranges.
+    joined = docs.join(found.hint("shuffle_hash"), F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__version")), "left").drop("__id", "__version")
     at, names = joined.columns.index(text), docs.columns
     shape = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.StringType())])
 
