@@ -70,6 +70,11 @@ class Schedule:
     #: source, source_size, target, epoch and key of the last document taken.
     cuts: DataFrame
     n_sources: int
+    blocks: int
+
+
+def _block(key: Column, blocks: int) -> Column:
+    return F.pmod(F.shiftrightunsigned(key, 20), F.lit(blocks)).cast("int")
 
 
 def _keys(doc_id: str, text: str) -> list[Column]:
@@ -80,7 +85,7 @@ def _keys(doc_id: str, text: str) -> list[Column]:
 def schedule(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: Sequence[int] = WEIGHTS, repeats: int = REPEATS, blocks: int = BLOCKS) -> Schedule:
     size = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long").alias("size")
     narrow, _ = written(docs.select(F.col(source).alias("source"), size, *_keys(doc_id, text)), "mix")
-    narrow = narrow.withColumn("block", F.pmod(F.shiftrightunsigned("key", 20), F.lit(blocks)).cast("int"))
+    narrow = narrow.withColumn("block", _block(F.col("key"), blocks))
     blocked = narrow.groupBy("source", "block").agg(F.sum("size").alias("block_size"))
     by_source = targets(blocked.groupBy("source").agg(F.sum("block_size").alias("source_size")), weights, repeats)
     upto = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -94,7 +99,7 @@ def schedule(docs: DataFrame, text: str = "text", source: str = "source", doc_id
         narrow.withColumn("sum", F.sum("size").over(inside))
         .join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
         .withColumn("at", F.col("before") + F.col("sum"))
-        .select("source", *KEY, "size", "source_size", "target", "at"),
+        .select("source", "block", *KEY, "size", "source_size", "target", "at"),
         "mix-timed",
     )
     finish = F.array(*[F.when((F.col("target") > 0) & (F.col("size") > 0), (F.col("at") + F.col("source_size") * e) / F.col("target")) for e in range(repeats)])
@@ -120,12 +125,12 @@ def schedule(docs: DataFrame, text: str = "text", source: str = "source", doc_id
         outer = near.where(F.col("r") < reached).agg(F.max("f")).first()[0]
         last = max(1.0, inner or 0.0, outer or 0.0)
     copies = F.size(F.filter("finish", lambda f: f <= last))
-    rows = timed.withColumn("copies", copies).select("source", *KEY, "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    rows = timed.withColumn("copies", copies).select("source", "block", *KEY, "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
     cuts, _ = written(
-        rows.groupBy("source").agg(F.max(F.when(F.col("copies") > 0, F.struct("copies", *KEY))).alias("last"), F.first("source_size").alias("source_size"), F.first("target").alias("target")),
+        rows.groupBy("source").agg(F.max(F.when(F.col("copies") > 0, F.struct("copies", "block", *KEY))).alias("last"), F.first("source_size").alias("source_size"), F.first("target").alias("target")),
         "mix-cuts",
     )
-    return Schedule(rows, cuts, cuts.count())
+    return Schedule(rows, cuts, cuts.count(), blocks)
 
 
 def apply(docs: DataFrame, plan: Schedule, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
@@ -133,9 +138,10 @@ def apply(docs: DataFrame, plan: Schedule, text: str = "text", source: str = "so
     held = docs.columns
     salts = 1 if plan.n_sources <= BROADCAST_SOURCES else SALTS
     cuts = plan.cuts.where("last is not null").select(F.col("source").alias("__s"), "last", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("__salt"))
-    keyed = docs.withColumn("__key", F.struct(*_keys(doc_id, text))).withColumn("__mine", F.pmod(F.col("__key")["key"], F.lit(salts)).cast("int"))
+    drawn = _keys(doc_id, text)
+    keyed = docs.withColumn("__key", F.struct(_block(drawn[0], plan.blocks).alias("block"), *drawn)).withColumn("__mine", F.pmod(F.col("__key")["key"], F.lit(salts)).cast("int"))
     joined = keyed.join(F.broadcast(cuts) if salts == 1 else cuts, F.col(source).eqNullSafe(F.col("__s")) & (F.col("__mine") == F.col("__salt")))
-    mine = F.col("last")["copies"] - F.when(F.col("__key") <= F.struct(*[F.col("last")[k].alias(k) for k in KEY]), 0).otherwise(1)
+    mine = F.col("last")["copies"] - F.when(F.col("__key") <= F.struct(*[F.col("last")[k].alias(k) for k in ("block", *KEY)]), 0).otherwise(1)
     some = F.coalesce(F.col(text), F.lit("")).rlike(WORD)
     return joined.withColumn("__n", F.when(some, mine).otherwise(0)).where("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*held)
 
