@@ -1,10 +1,10 @@
 """Line deduplication by pairwise alignment.
 
 Each document's lines become hashes. A document's overlap with earlier ones is found by
-its rare lines: those that at most ``rare`` documents hold or, where it has none but half
-of its text or more is shared, as in large groups of copies, its least frequent shared
-ones. A rare line leads to one partner, the earliest document that holds it, so a line
-that n documents share gives n - 1 pairs and not all of them. Hash lists of each pair are
+its rare lines, pairs of successive lines, and the whole list of lines: those that at most
+``rare`` documents hold, and, where half of its text or more is shared, as in large groups
+of copies, its least frequent shared ones. Each leads to one partner, the earliest document
+that holds it, so what n documents share gives n - 1 pairs and not all of them. Hash lists of each pair are
 aligned with patience diff, and aligned common blocks of ``least`` characters or more are
 deleted from the later document. The earliest holder of a line never loses it, so every
 line stays somewhere.
@@ -109,7 +109,11 @@ def hashed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 def partners(listed: DataFrame, rare: int = RARE) -> DataFrame:
     """Distinct pairs (later, earlier) of documents, as structs of id and version."""
     key = F.struct("id", "version")
-    held = listed.select(key.alias("doc"), F.explode(F.arrays_zip("lines", "chars")).alias("x")).select("doc", F.col("x.lines").alias("line"), F.col("x.chars").alias("chars")).where("line is not null")
+    solid = F.filter(F.arrays_zip("lines", "chars"), lambda x: x["lines"].isNotNull())
+    whole = F.struct(F.xxhash64("lines", F.lit("whole")).alias("line"), F.lit(0).alias("chars"))
+    pair = F.transform("s", lambda x, k: F.struct(F.when(k > 0, F.xxhash64(F.col("s")[F.greatest(k - 1, F.lit(0))]["lines"], x["lines"])).alias("line"), F.lit(0).alias("chars")))
+    line = F.transform("s", lambda x: F.struct(x["lines"].alias("line"), x["chars"].alias("chars")))
+    held = listed.withColumn("s", solid).where(F.size("s") > 0).select(key.alias("doc"), F.explode(F.concat(line, pair, F.array(whole))).alias("x")).select("doc", "x.line", "x.chars").where("line is not null")
     once = held.groupBy("doc", "line").agg(F.sum("chars").alias("chars"))
     # Written, so that the join reads both sides from shuffles of their own and can split a
     # very common line.
