@@ -1,7 +1,7 @@
 """Minimum-cost-flow resharding: new shard sizes with the fewest bytes moved.
 
-Old shards are cut into hash blocks whose byte sums go to the driver (a bounded table:
-old shards x ``blocks``). A minimum-cost flow from old shards to new capacities, staying
+Old shards are cut into hash blocks, as many as their bytes call for, whose byte sums go to
+the driver (a bounded table: old shards x blocks). A minimum-cost flow from old shards to new capacities, staying
 at cost 0 and moving at cost 1 a byte, says how many bytes go where. Each old shard's
 blocks, laid end to end, are then cut at those byte counts: a block that holds no cut
 moves or stays as a whole, a block that holds one is cut between two rows. So only rows
@@ -26,7 +26,10 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import table, without
 
-OLD_SHARDS, NEW_SHARDS, BLOCKS = 12, 16, 256
+OLD_SHARDS, NEW_SHARDS = 12, 16
+#: Hash blocks of an old shard: one for each so many bytes, within bounds. At the upper one
+#: the driver holds 12 x 65536 sums; a block is then what one task sorts.
+BLOCK_BYTES, LEAST_BLOCKS, MOST_BLOCKS = 256 << 20, 256, 1 << 16
 OUT = ("size", "text_crc32", "law", "shard", "slot", "grown_shard", "old_shard", "block", "moved")
 
 
@@ -118,7 +121,7 @@ def transfers(sizes: dict[tuple[int, int], int], old: int, blocks: int, capacity
     return pieces
 
 
-def reshard(docs: DataFrame, new_shards: int, old_shard: Column | None = None, old_shards: int = OLD_SHARDS, capacity: Sequence[int] | None = None, blocks: int = BLOCKS, text: str = "text", doc_id: str = "doc_id", slots: bool = True) -> DataFrame:
+def reshard(docs: DataFrame, new_shards: int, old_shard: Column | None = None, old_shards: int = OLD_SHARDS, capacity: Sequence[int] | None = None, blocks: int | None = None, text: str = "text", doc_id: str = "doc_id", slots: bool = True) -> DataFrame:
     """docs with size, text_crc32, law, shard, slot, grown_shard, old_shard and moved.
 
     ``old_shard``: where each row lies now (0 up to ``old_shards``); without it the rows
@@ -129,6 +132,9 @@ def reshard(docs: DataFrame, new_shards: int, old_shard: Column | None = None, o
     held = docs.columns
     filled = F.coalesce(F.col(text), F.lit(""))
     spread = F.xxhash64(F.col(doc_id), F.lit("old shard"))
+    if blocks is None:
+        whole = docs.agg(F.coalesce(F.sum(F.octet_length(filled) + 1), F.lit(0))).first()[0]
+        blocks = min(MOST_BLOCKS, max(LEAST_BLOCKS, -(-whole // (old_shards * BLOCK_BYTES))))
     rows = docs.select(
         *held,
         (F.octet_length(filled) + 1).cast("long").alias("size"),
