@@ -9,7 +9,7 @@ queries whose k-th score it cannot reach, and raises their k-th scores as it goe
 whose bound equals the k-th score is still opened, so ties to smaller ids are kept.
 
 Scores are integer: components are floor(scale * x), products and sums exact in double
-up to 2**53 and taken in Python's integers beyond that.
+up to 2**53 and taken in Python's integers beyond that (the nearest 64-bit one is given).
 
 Defined results: a vector that is null or holds a null or non-finite component takes no
 part, nor does a row without id; shorter vectors count as padded with zeros (so an empty
@@ -220,12 +220,12 @@ def top_k(vectors: DataFrame, every: int = EVERY, k: int = TOP, scale: int = SCA
 
 def _exactly(tree: Tree, ids: np.ndarray, queries: np.ndarray, k: int) -> pd.DataFrame:
     """Scores beyond 2**53: whole numbers of Python, row by row of the shard."""
-    out = []
+    out, least, most = [], -(2**63), 2**63 - 1
     whole = [[int(x) for x in r] for r in tree.rows]
     for i, q in zip(ids, queries, strict=True):
         mine = [int(x) for x in q]
         s = sorted((-sum(a * b for a, b in zip(mine, r, strict=True)), int(j)) for j, r in zip(tree.ids, whole, strict=True) if j != i)[:k]
-        out += [(int(i), j, -x) for x, j in s]
+        out += [(int(i), j, min(most, max(least, -x))) for x, j in s]
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
 
