@@ -26,7 +26,7 @@ class Job:
 
 
 class Jobs:
-    """Each job runs in a thread of its own under a tag, by which its stages are cancelled."""
+    """Each job runs in a thread of its own under a job group, by which its stages are counted and cancelled."""
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self._jobs = spark, {}
@@ -35,7 +35,7 @@ class Jobs:
         job = Job(f"job-{uuid.uuid4().hex}", total=total)
 
         def run() -> None:
-            self.spark.addTag(job.tag)
+            self.spark.sparkContext.setJobGroup(job.tag, "quire", interruptOnCancel=True)
             with job.lock:
                 if job.state == "REVOKED":
                     return
@@ -50,7 +50,7 @@ class Jobs:
                     if job.state != "REVOKED":
                         job.error, job.state = f"{type(failure).__name__}: {failure}", "FAILURE"
             finally:
-                self.spark.removeTag(job.tag)
+                self.spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
         job.thread = threading.Thread(target=run, daemon=True)
         self._jobs[job.tag] = job
@@ -58,12 +58,13 @@ class Jobs:
         return job.tag
 
     def status(self, job_id: str) -> dict:
-        """The state; while it runs, also stages done (n) and the total given."""
+        """The state; while it runs, also tasks done (n) and the total given."""
         job = self._jobs[job_id]
         out: dict = {"state": job.state}
         if job.state == "PROGRESS":
             tracker = self.spark.sparkContext.statusTracker()
-            out["info"] = {"n": len(tracker.getJobIdsForGroup(None)), "total": job.total}
+            stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup(job_id) if (info := tracker.getJobInfo(j)) for s in info.stageIds]
+            out["info"] = {"n": sum(s.numCompletedTasks for s in stages if s), "total": job.total}
         return out
 
     def cancel(self, job_id: str) -> dict:
@@ -71,7 +72,7 @@ class Jobs:
         with job.lock:
             if job.state in ("PENDING", "PROGRESS"):
                 job.state = "REVOKED"
-        self.spark.interruptTag(job_id)
+        self.spark.sparkContext.cancelJobGroup(job_id)
         return {"state": job.state}
 
     def fetch(self, job_id: str) -> list:
