@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import LOWER, mixed, pieces, table, text_buffer, word_bounds, word_hashes, written
+from quire.llm.common import LOWER, forget, map_batches, mixed, pieces, table, text_buffer, word_bounds, word_hashes, written
 from quire.llm.components import components
 
 WIDTH, PERCENT = 4, 85
@@ -43,7 +43,7 @@ HEAVY = 1 << 18
 SMALL = 32
 #: Classes and tokens of a block, about.
 BLOCK_CLASSES, BLOCK_TOKENS = 256, 1 << 18
-STEP, ORDERS = 1 << 20, 3
+STEP, ORDERS = 1 << 19, 3
 #: Up to so many ids, a list of them is broadcast (8 bytes each).
 BROADCAST_IDS = 200_000
 #: Tokens in a prefix for each one that a partner must share, beyond the least prefix.
@@ -153,7 +153,7 @@ def heavy_tokens(texts: DataFrame, width: int, salt: int, limit: int = HEAVY) ->
                     held, n, seen = [], 0, set()
         yield out()
 
-    found = texts.mapInArrow(recurring, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(limit).toArrow()
+    found = map_batches(texts, recurring, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(limit).toArrow()
     return found["token"].to_numpy().view(np.uint64), found["n"].to_numpy()
 
 
@@ -174,7 +174,7 @@ def classify(docs: DataFrame, orders, width: int, salt: int) -> DataFrame:
                 seen.add(c)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cls, pa.int64()), pa.array(proof, pa.int64()), pa.array(size, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], names=["id", "cls", "proof", "n", "prefix"])
 
-    return docs.mapInArrow(each, "id long, cls long, proof long, n long, prefix array<long>")
+    return map_batches(docs, each, "id long, cls long, proof long, n long, prefix array<long>")
 
 
 def _products(sets: list[np.ndarray]) -> np.ndarray:
@@ -246,7 +246,7 @@ def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width:
     by_token = Window.partitionBy("token")
     posted = rows.where("prefix is not null").select("cls", "n", F.explode("prefix").alias("token"))
     held = posted.withColumn("least", F.min("cls").over(by_token)).withColumn("most", F.max("cls").over(by_token)).withColumn("m", F.count("*").over(by_token))
-    shared, _ = written(held.where("least <> most").select("token", "cls", "n", "m").distinct(), "postings")
+    shared, postings = written(held.where("least <> most").select("token", "cls", "n", "m").distinct(), "postings")
     few, many = shared.where(F.col("m") <= small), shared.where(F.col("m") > small)
     hot = many.groupBy("cls").agg(F.count("*").alias("hot"))
     known = few.join(hot, "cls", "left").select("token", "cls", "n", F.coalesce("hot", F.lit(0)).alias("hot"))
@@ -261,11 +261,11 @@ def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width:
     groups = components(pairs.union(dense.join(first, "token").where("a <> cls").select("a", F.col("cls").alias("b")).distinct()))
     sized = groups.join(classes, F.col("node") == F.col("cls")).select("root", "node", "n")
     blocks = sized.groupBy(F.col("root").alias("r")).agg(F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"))
-    placed, _ = written(sized.join(blocks, F.col("root") == F.col("r")).select(F.col("node").alias("cls"), "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")), "blocks")
+    placed, blocked = written(sized.join(blocks, F.col("root") == F.col("r")).select(F.col("node").alias("cls"), "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")), "blocks")
 
     # The sets of the classes that are compared at all, from one text of each.
     no_id = F.lit(-(2**63))
-    wanted, _ = written(classes.join(placed.select("cls"), "cls", "left_semi").select(F.coalesce("first", no_id).alias("key"), F.col("cls").alias("want")), "wanted")
+    wanted, asked = written(classes.join(placed.select("cls"), "cls", "left_semi").select(F.coalesce("first", no_id).alias("key"), F.col("cls").alias("want")), "wanted")
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     texts = narrow.withColumn("key", F.coalesce("id", no_id)).join(wanted, "key").select("want", "text")
 
@@ -278,7 +278,7 @@ def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width:
                     sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(sets, pa.binary())], names=["cls", "tokens"])
 
-    sets = texts.mapInArrow(gather, "cls long, tokens binary").dropDuplicates(["cls"])
+    sets = map_batches(texts, gather, "cls long, tokens binary").dropDuplicates(["cls"])
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     met = placed.select("cls", "root", "block", other).select("cls", "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     key = ["root", "i", "j"]
@@ -302,8 +302,11 @@ def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width:
                 held.append(np.frombuffer(batch.column(4)[k].as_py(), np.uint64))
         yield links()
 
-    links = met.join(sets, "cls").select(*key, "cls", "tokens").repartition(*key).sortWithinPartitions(*key).mapInArrow(compare, "a long, b long")
+    tasks = met.join(sets, "cls").select(*key, "cls", "tokens").repartition(*key).sortWithinPartitions(*key)
+    links = map_batches(tasks, compare, "a long, b long")
     roots = components(links)
+    for done in (postings, blocked, asked):  # the links are written; nothing reads these again
+        forget(spark, done)
     labelled = classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))
     least = labelled.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("component_id"))
     named = labelled.join(least, F.col("root") == F.col("r")).select(F.col("cls").alias("class_id"), "component_id")
@@ -332,4 +335,20 @@ def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **op
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return similar(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
+ORACLE = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(words) >= {WIDTH} THEN list_distinct(list_transform(range(len(words) - {WIDTH - 1}), lambda k: array_to_string(words[k + 1 : k + {WIDTH}], ' ')))
+    WHEN len(words) > 0 THEN [array_to_string(words, ' ') || ' '] ELSE [] END AS shingles FROM w
+), t AS (SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n, unnest(shingles) AS shingle FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared, any_value(a.n) AS m, any_value(b.n) AS n FROM t a JOIN t b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM p WHERE 100 * shared >= {PERCENT} * (m + n - shared)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT a AS node, b AS other FROM edges UNION SELECT r.node, e.b FROM reach r JOIN edges e ON r.other = e.a)
+SELECT s.doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(min(other), s.doc_id)) AS component_id
+FROM s LEFT JOIN reach ON node = s.doc_id GROUP BY s.doc_id, len(shingles)
+"""

@@ -74,12 +74,16 @@ class Schedule:
 
 
 def _block(key: Column, blocks: int) -> Column:
-    return F.pmod(F.shiftrightunsigned(key, 20), F.lit(blocks)).cast("int")
+    return F.pmod(F.shiftright(key, 20), F.lit(blocks)).cast("int")
 
 
 def _keys(doc_id: str, text: str) -> list[Column]:
     """The order in which a source's documents are drawn: a hash, then ties."""
-    return [F.xxhash64(F.col(doc_id), F.lit("mix")).alias("key"), F.col(doc_id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tie")]
+
+    def digest(column: Column) -> Column:
+        return F.conv(F.substring(F.md5(column), 1, 15), 16, 10).cast("long")
+
+    return [digest(F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))).alias("key"), F.col(doc_id).alias("id"), digest(F.coalesce(F.col(text), F.lit(""))).alias("tie")]
 
 
 def schedule(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: Sequence[int] = WEIGHTS, repeats: int = REPEATS, blocks: int = BLOCKS) -> Schedule:
@@ -149,3 +153,24 @@ def apply(docs: DataFrame, plan: Schedule, text: str = "text", source: str = "so
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return schedule(docs).rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source", "copies")
+
+
+ORACLE = f"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS key, CAST('0x' || substr(md5(coalesce(text, '')), 1, 15) AS BIGINT) AS tie
+  FROM documents
+), s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [{', '.join(f'{x}.0::DOUBLE' for x in WEIGHTS)}][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1] AS weight, CAST({REPEATS} * source_size AS DOUBLE) AS cap FROM s),
+v AS (SELECT *, cap / weight AS full_at, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS n FROM w),
+l AS (SELECT *, ((SELECT CAST(sum(source_size) AS DOUBLE) FROM s) - coalesce(sum(cap) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM v),
+t AS (SELECT source, source_size, CASE WHEN (SELECT count(*) FROM l WHERE full_at >= level) = 0 THEN cap ELSE least(cap, (SELECT arg_min(level, n) FROM l WHERE full_at >= level) * weight) END AS target FROM l),
+a AS (
+  SELECT d.*, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY (key >> 20) % {BLOCKS}, key, doc_id NULLS FIRST, tie) AS upto
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), e AS (SELECT *, epoch, CASE WHEN target > 0 AND size > 0 THEN CAST(upto + source_size * epoch AS DOUBLE) / target END AS f FROM a, (SELECT unnest(range({REPEATS})) AS epoch)),
+c AS (SELECT f, sum(sum(size)) OVER (ORDER BY f) AS spent FROM e WHERE f IS NOT NULL GROUP BY f),
+cut AS (SELECT greatest(1.0, coalesce(max(f), 0.0)) AS last FROM c WHERE spent <= (SELECT sum(size) FROM d))
+SELECT doc_id, size, source_size, target, CAST(size * count(*) FILTER (f <= (SELECT last FROM cut)) AS BIGINT) AS taken, source, CAST(count(*) FILTER (f <= (SELECT last FROM cut)) AS INTEGER) AS copies
+FROM e GROUP BY doc_id, key, tie, size, source_size, target, source, upto
+"""

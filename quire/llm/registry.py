@@ -21,4 +21,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": mixing.query,
 }
 
-ORACLES: dict[str, str] = {"op4_balltree": balltree.ORACLE, "op9_warc": warc.ORACLE}
+ORACLES: dict[str, str] = {
+    "op4_balltree": balltree.ORACLE,
+    "op7_jaccard": jaccard.ORACLE,
+    "op9_warc": warc.ORACLE,
+    "op10_mixing": mixing.ORACLE,
+}
