@@ -20,6 +20,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_SCRATCH: list[tuple[SparkSession, str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir where it is set.
 
@@ -34,7 +37,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quire/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder; what lies there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/quire/{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append((spark, path))
+    return path
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -45,9 +51,6 @@ def delete(spark: SparkSession, path: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-_SCRATCH: list[tuple[SparkSession, str]] = []
-
-
 def forget(spark: SparkSession, path: str) -> None:
     """Deletes a written table that no result reads any more."""
     delete(spark, path)
@@ -67,12 +70,28 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Cuts the lineage: writes df to the shared folder as Parquet and reads it again."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    _SCRATCH.append((spark, path))
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path), path
 
 
+#: Rows of an Arrow batch at most, as whole texts travel in them.
+BATCH_ROWS = 512
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def map_batches(df: DataFrame, function, schema) -> DataFrame:
+    """mapInArrow in batches of a bounded number of rows.
+
+    The bound is a setting of the session that is read when a plan runs, so it stays set; a
+    lower one that the session has is kept.
+    """
+    spark = df.sparkSession
+    if not 0 < int(spark.conf.get(_ROWS)) <= BATCH_ROWS:
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
+    return df.mapInArrow(function, schema)
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df without columns that an operator is about to add (any letter case)."""
     low = {n.lower() for n in names}

@@ -34,12 +34,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm import common
-from quire.llm.common import LOWER, pieces, table, text_buffer
+from quire.llm.common import LOWER, map_batches, pieces, table, text_buffer
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score that a window must reach; shares of word triples to find.
 THRESHOLD, QUESTION, ANSWER = 0.5, 0.6, 0.6
-LEAST, BLOCK, STEP = 5, 16, 1 << 20
+LEAST, BLOCK, STEP = 5, 16, 1 << 19
 MAX_PART_BYTES = 32 << 20
 
 _BREAK = np.ones(256, bool)
@@ -246,7 +246,7 @@ def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
                 at = pa.array([x[0] for x in found], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array([held.value.ids[x[1]] for x in found], pa.int64()), *[pa.array([round(x[k], 9) for x in found], pa.float64()) for k in (2, 3, 4)]], names=shape.names)
 
-        out = out.union(docs.select(F.col(doc_id).alias("doc_id"), text).mapInArrow(search, shape))
+        out = out.union(map_batches(docs.select(F.col(doc_id).alias("doc_id"), text), search, shape))
     return out
 
 
@@ -262,7 +262,7 @@ def drop_found(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> Dat
                 good[[x[0] for x in matches(held.value, batch.column(at))]] = False
                 yield batch.filter(pa.array(good)).rename_columns(names)
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = map_batches(docs, keep, docs.schema)
     return docs
 
 

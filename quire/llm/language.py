@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import crc_mod, pieces, table, text_buffer, without
+from quire.llm.common import crc_mod, map_batches, pieces, table, text_buffer, without
 
 UNKNOWN = "und"
 BUCKET_BITS, ORDERS, SMOOTH = 16, (1, 2, 3), 0.5
@@ -35,7 +35,7 @@ BUCKET_BITS, ORDERS, SMOOTH = 16, (1, 2, 3), 0.5
 TRAIN_ROWS = 3000
 MAX_MODEL_MB = 256
 #: Bytes of text that one step of numpy takes.
-STEP = 1 << 19
+STEP = 1 << 18
 
 _TABLES: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -148,7 +148,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: s
         yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(bucket), pa.array(sums[which, bucket])], names=["which", "bucket", "n"])
 
     few = sample.repartition(max(1, min(64, -(-min(sum(counts.values()), len(languages) * train_rows) // 2000))))
-    found = few.mapInArrow(count, "which long, bucket long, n long").groupBy("which", "bucket").agg(F.sum("n").alias("n")).toArrow()  # at most languages x buckets rows
+    found = map_batches(few, count, "which long, bucket long, n long").groupBy("which", "bucket").agg(F.sum("n").alias("n")).toArrow()  # at most languages x buckets rows
     sums = np.full((1 << BUCKET_BITS, len(languages)), SMOOTH)
     sums[found["bucket"].to_numpy(), found["which"].to_numpy()] += found["n"].to_numpy()
     prior = np.log(np.array([counts[v] for v in languages], np.float64) / sum(counts.values()))
@@ -169,7 +169,7 @@ def identify(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:
             best, sure = m.scores(batch.column(at))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([names[x] for x in best], pa.string()), pa.array(sure, pa.float64())], names=[f.name for f in shape.fields])
 
-    return rows.mapInArrow(score, shape)
+    return map_batches(rows, score, shape)
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import table, without, written
+from quire.llm.common import map_batches, table, without, written
 
 RARE, LEAST = 64, 30
 
@@ -144,7 +144,7 @@ def common_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", r
                 ranges.append([{"lo": lo, "hi": hi} for lo, hi in found])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ranges, kind)], names=["id", "version", "ranges"])
 
-    aligned = pairs.join(later, "later").join(earlier, "earlier").select("later.id", "later.version", "a", "b", "chars").mapInArrow(align, shape)
+    aligned = map_batches(pairs.join(later, "later").join(earlier, "earlier").select("later.id", "later.version", "a", "b", "chars"), align, shape)
     return aligned.where(F.size("ranges") > 0).groupBy("id", "version").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ranges")))).alias("ranges"))
 
 
@@ -174,7 +174,7 @@ def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rare: int
             columns = [batch.column(k) if k != at else pa.array(out, pa.string()) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(gone, pa.int64()), pa.array(said, pa.string())], names=shape.names)
 
-    return joined.mapInArrow(cut, shape)
+    return map_batches(joined, cut, shape)
 
 
 def _runs(numbers: list[int]) -> list[tuple[int, int]]:

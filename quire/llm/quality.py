@@ -25,14 +25,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm import common
-from quire.llm.common import LOWER, crc_mod, pieces, table, text_buffer, without
+from quire.llm.common import LOWER, crc_mod, map_batches, pieces, table, text_buffer, without
 
 #: Labelled rows learned from, at most.
 TRAIN_ROWS = 20_000
 TREES, DEPTH, RATE, LEAST_ROWS = 40, 3, 0.3, 15
 LASSO, ROUNDS, KEEP = 0.002, 1500, 60
 CUT = 0.7
-STEP = 1 << 20
+STEP = 1 << 19
 
 _NAMES = ("upper", "digit", "stop", "mark", "symbol", "other", "blank", "high")
 _KIND = np.full(256, 5, np.int64)
@@ -244,7 +244,7 @@ def with_statistics(rows: DataFrame, text: str = "text", name: str = "statistics
             offs = pa.array(np.arange(len(stats) + 1) * len(FEATURES), pa.int32())
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in left], pa.ListArray.from_arrays(offs, pa.array(stats.reshape(-1)))], names=shape.names)
 
-    return rows.mapInArrow(add, shape)
+    return map_batches(rows, add, shape)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", train_rows: int = TRAIN_ROWS) -> Rules:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import new_path, table
+from quire.llm.common import map_batches, new_path, table
 
 #: A record's end in the format; the writer puts it after each row.
 END = "\r\n\r\n"
@@ -142,7 +142,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(out["page_id"], pa.int64()), pa.array(out["record_type"], pa.string()), pa.array(out["refers_to"], pa.int64()), pa.array(out["payload_digest"], pa.string()), pa.array(out["held_bytes"], pa.int64()), pa.array(out["url"], pa.string())], names=list(out))
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(read, "page_id long, record_type string, refers_to long, payload_digest string, held_bytes long, url string")
+    return map_batches(files, read, "page_id long, record_type string, refers_to long, payload_digest string, held_bytes long, url string")
 
 
 def resolved(archive: DataFrame) -> DataFrame:
