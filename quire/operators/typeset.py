@@ -68,8 +68,8 @@ def _modifier(formula: dict) -> float:
 class Setter:
     """Sets one paragraph's pieces; holds the pen, the line number and the buffer."""
 
-    def __init__(self, paragraph: Mapping, formulas: Mapping[int, dict], metrics: Metrics, wide_fonts: frozenset[str] = frozenset()) -> None:
-        self.p, self.formulas, self.metrics, self.wide_fonts = paragraph, formulas, metrics, wide_fonts
+    def __init__(self, paragraph: Mapping, formulas: Mapping[int, dict], metrics: Metrics) -> None:
+        self.p, self.formulas, self.metrics = paragraph, formulas, metrics
         self.x, self.line, self.font = paragraph["x"], 0, None
         self.buffer, self.start = "", paragraph["x"]
         self.ops: list[Op] = []
@@ -106,7 +106,9 @@ class Setter:
         first = v["glyphs"][0]
         fix = v["yfix"] if self.font is not None else 0.0
         for g in v["glyphs"]:
-            self.ops.append(Op(self.x + g["x0"] - first["x0"], fix + g["y0"] - first["y0"], self.line, g["font"], g["size"], self.metrics.codes(g["font"], chr(g["cid"]), g["font"] in self.wide_fonts)))
+            font = g["font"].partition("+")[0]  # the resource's name; an asterisk: codes of two bytes
+            codes = self.metrics.codes(font, chr(g["cid"]), font.endswith("*"))
+            self.ops.append(Op(self.x + g["x0"] - first["x0"], fix + g["y0"] - first["y0"], self.line, font.rstrip("*"), g["size"], codes))
         for s in v["lines"]:
             if s["linewidth"] < values.THICK_LINE:
                 self.ops.append(Op(s["x0"] + self.x - first["x0"], s["y0"] + fix - first["y0"], self.line, linewidth=s["linewidth"], xlen=s["x1"] - s["x0"], ylen=s["y1"] - s["y0"]))
@@ -132,9 +134,9 @@ def line_height(lang_out: str, height: float, lines: int, size: float) -> float:
     return value
 
 
-def set_paragraph(paragraph: Mapping, text: str, formulas: Mapping[int, dict], metrics: Metrics, lang_out: str, wide_fonts: frozenset[str] = frozenset()) -> list[str]:
+def set_paragraph(paragraph: Mapping, text: str, formulas: Mapping[int, dict], metrics: Metrics, lang_out: str) -> list[str]:
     """Drawing operators of one paragraph, as texts."""
-    setter = Setter(paragraph, formulas, metrics, wide_fonts)
+    setter = Setter(paragraph, formulas, metrics)
     ops = setter.run(text)
     step = paragraph["size"] * line_height(lang_out, paragraph["y1"] - paragraph["y0"], setter.line + 1, paragraph["size"])
     out = []

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as tx
 from quire.operators import assemble, layout, memory, pages, segment, typeset
 from quire.plans.options import Options
+from quire.sources import pdf
 
 
 def protect(lines: DataFrame, pattern: str = "[0-9]+", text: str = "text") -> DataFrame:
@@ -64,14 +65,27 @@ def translate_pages(glyphs: DataFrame, boxes: DataFrame, class_names: DataFrame,
     makes every spot plain text.
     """
     wanted = pages.select(glyphs, options.pages)
-    classed = layout.classified(wanted, boxes, class_names, int(options.page_width), int(options.page_height))
-    parts = segment.segment(classed, options.page_width, options.rules)
+    sized = "page_w" in glyphs.columns  # then boxes have the page's size too
+    size = (F.col("page_w").cast("int"), F.col("page_h").cast("int")) if sized else (int(options.page_width), int(options.page_height))
+    classed = layout.classified(wanted, boxes, class_names, *size)
+    parts = segment.segment(classed, "page_w" if sized else options.page_width, options.rules)
     key = ["doc_id", "pageno", "container"]
     paragraphs = parts.select(*key, F.explode("paragraphs").alias("p")).select(*key, "p.para_idx", "p.text")
     texts = assemble.joined_paragraphs(memory.translate(paragraphs, engine, store, options.ignore_cache, options.threads).withColumn("translation", F.coalesce("translation", "text")))
     return typeset.typeset(parts.join(texts, key), metrics, options.lang_out)
 
 
+def translate_files(files: DataFrame, boxes: DataFrame | None, class_names: DataFrame, engine: memory.Engine, options: Options, store: memory.Memory | None = None, wide: pdf.WideFont | None = None) -> DataFrame:
+    """doc_id, mono_content, dual_content, error of every PDF file (doc_id, content).
+
+    ``boxes``: detections with page_w and page_h; without any, all text is plain.
+    """
+    none = "doc_id long, pageno int, det_idx int, x0 double, y0 double, x1 double, y1 double, conf double, cls int, page_w double, page_h double"
+    found = boxes if boxes is not None else files.sparkSession.createDataFrame([], none)
+    ops = translate_pages(pdf.glyphs(files), found, class_names, engine, options, pdf.metrics(wide), store)
+    return pdf.assembled(files, ops, wide)
+
+
 def bilingual(originals: DataFrame, translated: DataFrame) -> DataFrame:
     """Pages of both documents in reading order (doc_id, position, side, ops)."""
     return assemble.interleaved(originals.select("doc_id", "pageno", "ops"), translated.select("doc_id", "pageno", "ops"))
