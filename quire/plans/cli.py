@@ -1,19 +1,27 @@
-"""Command line: text documents in Parquet to translated ones."""
+"""Command line: PDF files, folders or addresses, or text documents in Parquet, to translated ones."""
 
 from __future__ import annotations
 
 import argparse
+import sys
 from collections.abc import Callable, Sequence
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quire.operators import engines, memory
+from quire.operators.segment import Rules
 from quire.plans import pipeline
-from quire.sources import files
+from quire.plans.derived import class_names
+from quire.plans.options import Options
+from quire.sources import files, pdf
 from quire.sources.settings import Config, read_prompt
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="quire", description="Translate documents on Spark.")
-    p.add_argument("files", nargs="*", help="Parquet files with doc_id and text, or, with --dir, folders to list")
+    p.add_argument("files", nargs="*", help="PDF files or addresses, Parquet files with doc_id and text, or, with --dir, folders of PDF files")
     p.add_argument("--lang-in", "-li", default="en")
     p.add_argument("--lang-out", "-lo", default="zh")
     p.add_argument("--service", "-s", default="google", help="name, or name:model")
@@ -26,6 +34,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--config", help="JSON file of settings")
     p.add_argument("--cache", help="folder of the translation memory")
     p.add_argument("--ignore-cache", action="store_true")
+    p.add_argument("--font", help="TrueType file for characters that the base font lacks")
     p.add_argument("--dir", action="store_true", help="the arguments are folders")
     p.add_argument("--debug", "-d", action="store_true")
     return p
@@ -42,22 +51,44 @@ def page_numbers(spec: str | None) -> list[int] | None:
     return out
 
 
+def _pdfs(spark: SparkSession, paths: Sequence[str], folders: bool) -> DataFrame:
+    """doc_id, path, content, error of files, folders or addresses."""
+    if folders:
+        found = files.scan_folder(spark, *paths)
+    else:
+        local, far = ([p for p in paths if p.startswith(("http://", "https://")) is x] for x in (False, True))
+        found = files.scan(spark, *local) if local else spark.createDataFrame([], "path string, content binary")
+        if far:
+            fetched = files.fetch(spark.createDataFrame([(p,) for p in far], "path string"))
+            found = found.select("path", "content").unionByName(fetched.select("path", "content"))
+    return found.select(F.xxhash64("path").alias("doc_id"), "path", "content")
+
+
 def main(arguments: Sequence[str] | None = None, engine: Callable[..., memory.Engine] = engines.engine) -> int:
     from quire.session import local_session
 
     args = parser().parse_args(arguments)
     config = Config(args.config) if args.config else None
     template = read_prompt(args.prompt) if args.prompt else None
-    spark = local_session("*")
-    if args.dir:
-        for row in files.with_output_names(files.scan_folder(spark, *args.files), args.output or None).select("path", "mono", "dual").toLocalIterator():
-            print(row.path, row.mono, row.dual, sep="\t")
-        return 0
     if gone := files.check(args.files):
         raise FileNotFoundError(", ".join(gone))
+    spark = local_session("*")
     name = args.service.partition(":")[0]
     chosen = engine(args.service, args.lang_in, args.lang_out, config.translator(name) if config else None, None, template)
     store = memory.Memory(spark, args.cache) if args.cache else None
+    if args.dir or all(p.lower().endswith(".pdf") or p.startswith(("http://", "https://")) for p in args.files):
+        wanted = page_numbers(args.pages)
+        options = Options(args.lang_in, args.lang_out, args.service, tuple(wanted) if wanted else None, args.thread, args.ignore_cache, template, Rules(args.vfont or None, args.vchar or None))
+        wide = pdf.WideFont(Path(args.font).read_bytes()) if args.font else None
+        found = _pdfs(spark, args.files, args.dir)
+        done = pipeline.translate_files(found, None, class_names(spark), chosen, options, store, wide).join(found.select("doc_id", "path"), "doc_id")
+        done = done.persist()  # a file is written from the same translation that its state reports
+        for row in files.write(done.where("error is null"), args.output or None).toLocalIterator():
+            print(row.path)
+        failed = [(r.path, r.error) for r in done.where("error is not null").select("path", "error").toLocalIterator()]
+        for path, error in failed:
+            print(path, error, sep="\t", file=sys.stderr)
+        return int(bool(failed))
     done = pipeline.plain(spark.read.parquet(*args.files), chosen, store, args.ignore_cache, args.vchar or "[0-9]+")
     done.select("doc_id", "para_idx", "text", "result", "status", "hit").write.mode("overwrite").parquet(args.output or "translated.parquet")
     return 0

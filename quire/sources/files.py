@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import tempfile
-import urllib.parse
 import urllib.request
 from collections.abc import Iterable, Iterator
 from pathlib import Path
@@ -115,7 +114,7 @@ def write(results: DataFrame, folder: str) -> DataFrame:
             out = []
             for r in batch.itertuples():
                 for name, content in ((r.mono, r.mono_content), (r.dual, r.dual_content)):
-                    target = Path(urllib.parse.urlparse(name).path if "://" in name else name)
+                    target = Path(re.sub(r"^file:/+", "/", name))
                     target.parent.mkdir(parents=True, exist_ok=True)
                     with tempfile.NamedTemporaryFile(dir=target.parent, delete=False) as part:
                         part.write(content)

@@ -140,3 +140,18 @@ def test_files_to_files(spark, tmp_path):
     mono, dual = bytes(got[0].mono_content), bytes(got[0].dual_content)
     assert ["".join(i["ch"] for i in pdf.page_items(mono) if i["ch"] and i["pageno"] == p) for p in (0, 1)] == ["[zh] Hello world 5", "Next"]
     assert len(Document(dual).pages) == 4
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from quire.plans.cli import main
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.pdf").write_bytes(sample())
+    (tmp_path / "in/b.PDF").write_bytes(b"broken")
+    engine = lambda spec, lang_in, lang_out, *_: memory.Engine("pseudo", lang_in, lang_out, "", memory.pseudo(lang_out))
+    assert main([str(tmp_path / "in/a.pdf"), "-lo", "fr", "-o", str(tmp_path / "out"), "--cache", str(tmp_path / "memory")], engine) == 0
+    mono = (tmp_path / "out/a-mono.pdf").read_bytes()
+    assert "".join(i["ch"] for i in pdf.page_items(mono) if i["ch"]).replace(" ", "") == "[fr]Helloworld"  # blanks go where lines wrap
+    assert len(Document((tmp_path / "out/a-dual.pdf").read_bytes()).pages) == 2
+    assert main([str(tmp_path / "in"), "--dir"], engine) == 1  # one file is broken
+    assert (tmp_path / "in/a-mono.pdf").exists() and "b.PDF" in capsys.readouterr().err
