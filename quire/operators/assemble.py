@@ -30,8 +30,11 @@ def interleaved(originals: DataFrame, translated: DataFrame) -> DataFrame:
 
 
 def charset(glyphs: DataFrame, key: tuple[str, ...] = ("doc_id", "font")) -> DataFrame:
-    """The distinct characters that a subset of each font must hold."""
-    return glyphs.groupBy(*key).agg(F.count_distinct("ch").alias("chars"), F.array_join(F.array_sort(F.collect_set("ch")), "").alias("charset"))
+    """The distinct characters that a subset of each font must hold.
+
+    Glyphs shrink to different characters before they are shuffled.
+    """
+    return glyphs.select(*key, "ch").distinct().groupBy(*key).agg(F.count("*").alias("chars"), F.array_join(F.array_sort(F.collect_list("ch")), "").alias("charset"))
 
 
 def fonts_of_pages(pages: DataFrame, fonts: tuple[str, str]) -> DataFrame:

@@ -50,6 +50,19 @@ SERVICES: dict[str, dict] = {
     "openailiked": {"prompt": True, "settings": {"OPENAILIKED_BASE_URL": None, "OPENAILIKED_API_KEY": None, "OPENAILIKED_MODEL": None}},
     "qwen-mt": {"prompt": True, "settings": {"ALI_MODEL": "qwen-mt-turbo", "ALI_API_KEY": None}, "base": "https://dashscope.aliyuncs.com/compatible-mode/v1"},
 }
+# Addresses of the services that have no setting for them, and what their pages
+# hold the answer or the request's marks in.
+GOOGLE_PAGE = "https://translate.google.com/m"
+GOOGLE_ANSWER = r'(?s)class="(?:t0|result-container)">(.*?)<'
+BING_PAGE = "https://www.bing.com/translator"
+BING_ANSWER = "https://www.bing.com/ttranslatev3"
+BING_IG = r'"ig":"(.*?)"'
+BING_IID = r'data-iid="(.*?)"'
+BING_TOKEN = r'params_AbusePreventionHelper\s=\s\[(.*?),"(.*?)",'
+THOUGHT = r"\A<think>.+?</think>"
+THOUGHT_TOLERANT = r"\A<think>.+?\n*(</think>|\n)*(</think>)\n*"
+END_OF_TURN = "<end_of_turn>"
+
 CHAT = ("openai", "azure-openai", "modelscope", "zhipu", "silicon", "gemini", "grok", "groq", "deepseek", "openailiked", "qwen-mt")
 
 
@@ -107,8 +120,7 @@ def _json(transport: Transport, address: str, body: object, headers: Mapping[str
 
 def clean_answer(content: str, tolerant: bool = True) -> str:
     """Without a leading thought block."""
-    pattern = r"\A<think>.+?\n*(</think>|\n)*(</think>)\n*" if tolerant else r"\A<think>.+?</think>"
-    return re.sub(pattern, "", content.strip() if tolerant else content, count=1, flags=re.DOTALL).strip()
+    return re.sub(THOUGHT_TOLERANT if tolerant else THOUGHT, "", content.strip() if tolerant else content, count=1, flags=re.DOTALL).strip()
 
 
 def fill(template: str | None, lang_in: str, lang_out: str, text: str) -> list[dict[str, str]]:
@@ -157,7 +169,7 @@ def client(name: str, lang_in: str, lang_out: str, settings: Settings, model: st
     def xinference(text: str) -> str:
         def ask(one: str) -> str:
             got = _json(transport, f"{settings.get('HOST')}/v1/chat/completions", {"model": one, "temperature": 0, "messages": fill(template, lang_in, lang_out, text)}, {})
-            said = got["choices"][0]["message"]["content"].replace("<end_of_turn>", "")
+            said = got["choices"][0]["message"]["content"].replace(END_OF_TURN, "")
             if len(said) > _budget(text):
                 raise RuntimeError("the answer is too long")
             return said.strip()
@@ -166,21 +178,21 @@ def client(name: str, lang_in: str, lang_out: str, settings: Settings, model: st
 
     def google(text: str) -> str:
         query = urllib.parse.urlencode({"tl": lout, "sl": lin, "q": text[: values.GOOGLE_CHARS]})
-        status, page = transport("GET", f"https://translate.google.com/m?{query}", {"User-Agent": "Mozilla/4.0"}, None)
+        status, page = transport("GET", f"{GOOGLE_PAGE}?{query}", {"User-Agent": "Mozilla/4.0"}, None)
         if status == 400:
             raise Refused(values.REFUSED)
         if status >= 400:
             raise Retry(f"status {status}")
-        found = re.findall(r'(?s)class="(?:t0|result-container)">(.*?)<', page)
+        found = re.findall(GOOGLE_ANSWER, page)
         return "".join(c for c in html.unescape(found[0]) if unicodedata.category(c)[0] != "C")
 
     def bing(text: str) -> str:
-        status, page = transport("GET", "https://www.bing.com/translator", {"User-Agent": "Mozilla/5.0"}, None)
-        ig = re.findall(r'"ig":"(.*?)"', page)[0]
-        iid = re.findall(r'data-iid="(.*?)"', page)[-1]
-        mark, token = re.findall(r'params_AbusePreventionHelper\s=\s\[(.*?),"(.*?)",', page)[0]
+        status, page = transport("GET", BING_PAGE, {"User-Agent": "Mozilla/5.0"}, None)
+        ig = re.findall(BING_IG, page)[0]
+        iid = re.findall(BING_IID, page)[-1]
+        mark, token = re.findall(BING_TOKEN, page)[0]
         form = urllib.parse.urlencode({"fromLang": lin, "to": lout, "text": text[: values.BING_CHARS], "token": token, "key": mark}).encode()
-        status, said = transport("POST", f"https://www.bing.com/ttranslatev3?IG={ig}&IID={iid}", {"User-Agent": "Mozilla/5.0", "Content-Type": "application/x-www-form-urlencoded"}, form)
+        status, said = transport("POST", f"{BING_ANSWER}?IG={ig}&IID={iid}", {"User-Agent": "Mozilla/5.0", "Content-Type": "application/x-www-form-urlencoded"}, form)
         if status >= 400:
             raise Retry(f"status {status}")
         return json.loads(said)[0]["translations"][0]["text"]

@@ -472,7 +472,12 @@ def line_height_shrink(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", height.alias("height"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE t AS (SELECT conv_id, turn, text, 30 AS x, 0 AS line, 0 AS k FROM conversations
+  UNION ALL SELECT conv_id, turn, text, CASE WHEN (x + 6 > 241 OR x = 0) AND substr(text, k + 1, 1) = ' ' THEN 0 WHEN x + 6 > 241 THEN 6 ELSE x + 6 END,
+    CASE WHEN x + 6 > 241 THEN line + 1 ELSE line END, k + 1 FROM t WHERE k < length(text))
+SELECT conv_id, turn, CAST(max(line) FILTER (k > 0) AS INTEGER) AS last_line, CAST(max(k) AS INTEGER) AS chars FROM t GROUP BY conv_id, turn"""
+)
 def greedy_wrap(spark, sf_dir):
     lines = typeset.wrapped(F.col("text"), F.lit(6.0), F.lit(30.0), F.lit(0.0), F.lit(240.0), F.lit(10.0), F.lit(True))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_max(lines).alias("last_line"), F.size(lines).alias("chars"))

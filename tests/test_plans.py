@@ -88,3 +88,15 @@ def test_command_line(spark, tmp_path):
     assert "[fr] plain" in [r.result for r in spark.read.parquet(str(tmp_path / "out")).collect()]
     with pytest.raises(FileNotFoundError):
         main([str(tmp_path / "none")], engine)
+
+
+def test_distinct_texts_of_a_stream(spark, tmp_path):
+    land = tmp_path / "land"
+    land.mkdir()
+    for name, said in (("a", "same"), ("b", "same"), ("c", "other")):
+        (land / name).write_text(said)
+    files = ingest.landed(spark, str(land))
+    once = ingest.distinct_texts(files.select("modificationTime", F.decode("content", "UTF-8").alias("text")))
+    query = once.writeStream.format("memory").queryName("once").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    query.awaitTermination(120)
+    assert sorted(r.text for r in spark.table("once").collect()) == ["other", "same"]
