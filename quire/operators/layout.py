@@ -47,6 +47,50 @@ class TableModel:
         raise LookupError("a table of detections goes by page key, not by image")
 
 
+class OnnxModel:
+    """A detector in an ONNX file: one session a worker, made where it is first used.
+
+    The file is a path that every worker can read. A session that is given is used as it is.
+    """
+
+    def __init__(self, path: str, session: object | None = None) -> None:
+        self.path, self._session = path, session
+
+    def __getstate__(self) -> dict:
+        return {"path": self.path, "_session": None}  # sessions do not travel
+
+    @property
+    def session(self):
+        if self._session is None:
+            import onnxruntime
+
+            self._session = onnxruntime.InferenceSession(self.path)
+        return self._session
+
+    @property
+    def stride(self) -> int:
+        return model_metadata(self.session.get_modelmeta().custom_metadata_map)[0]
+
+    @property
+    def names(self) -> dict[int, str]:
+        return model_metadata(self.session.get_modelmeta().custom_metadata_map)[1]
+
+    def predict(self, image: np.ndarray, size: int) -> np.ndarray:
+        """Detections above the threshold, in the image's own pixels, the surest first."""
+        fitted = resize_and_pad(image, size, self.stride)
+        found = np.asarray(self.session.run(None, {"images": preprocess([fitted])})[0], np.float64)[0]
+        found = found[found[:, 4] > values.LEAST_CONFIDENCE]
+        found[:, :4] = unscale(found[:, :4], fitted.shape[:2], image.shape[:2])
+        return found[np.argsort(-found[:, 4], kind="stable")]
+
+
+def unscale(boxes: np.ndarray, padded: tuple[int, int], original: tuple[int, int]) -> np.ndarray:
+    """The rule of geometry.unscaled for an array of boxes."""
+    gain = min(padded[0] / original[0], padded[1] / original[1])
+    pad_y, pad_x = (round((p - o * gain) / 2 - 0.1) for p, o in zip(padded, original, strict=True))
+    return (boxes - [pad_x, pad_y, pad_x, pad_y]) / gain
+
+
 def model_metadata(metadata: dict[str, str]) -> tuple[int, dict[int, str]]:
     """Stride and class names that a model file carries as literals."""
     import ast

@@ -90,3 +90,22 @@ def test_bullet_and_models(spark):
     assert sorted((r.doc_id, r.ch, r.cls) for r in layout.classified(spots, found, names, 100, 100).collect()) == [(1, "a", 2), (1, "•", 0), (2, "a", 1)]
     assert layout.model_metadata({"names": "{0: 'title', 1: 'text'}", "stride": "32"}) == (32, {0: "title", 1: "text"})
     assert layout.preprocess([np.full((2, 3, 3), 255, np.uint8)]).shape == (1, 3, 2, 3)
+
+
+class FakeSession:
+    def get_modelmeta(self):
+        return type("Meta", (), {"custom_metadata_map": {"names": "{0: 'title', 1: 'plain text'}", "stride": "32"}})()
+
+    def run(self, outputs, inputs):
+        assert inputs["images"].shape == (1, 3, 512, 1024) and inputs["images"].dtype == np.float32
+        rows = np.zeros((1, 300, 6))
+        rows[0, :3] = [[0, 0, 512, 256, 0.5, 1], [0, 0, 1024, 512, 0.9, 0], [0, 0, 10, 10, 0.25, 1]]
+        return [rows]
+
+
+def test_detector_of_images():
+    model = layout.OnnxModel("none", FakeSession())
+    found = model.predict(np.zeros((100, 200, 3), np.uint8), 1024)
+    assert model.names == {0: "title", 1: "plain text"} and found[:, 4].tolist() == [0.9, 0.5]
+    assert found[:, :4].tolist() == [[0, 0, 200, 100], [0, 0, 100, 50]]
+    assert layout.unscale(np.array([[512.0, 512.0, 768.0, 768.0]]), (1024, 1024), (500, 300)).tolist() == [[149.90234375, 250.0, 274.90234375, 375.0]]
