@@ -8,20 +8,23 @@ from pyspark.sql import functions as F
 from quire.llm.common import forget, written
 
 
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether every node is either a centre or has one edge, to a centre."""
+    ends = edges.select(F.col("a").alias("n"), F.lit(1).alias("out"), F.lit(0).alias("centre")).union(edges.select("b", F.lit(0), F.lit(1)))
+    return not ends.groupBy("n").agg(F.sum("out").alias("out"), F.max("centre").alias("centre")).where((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("centre") > 0))).limit(1).count()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of edges (a, b): the root is the component's least node.
 
-    Each step is two joins with pre-aggregated minima, written to the shared folder; no
-    neighbourhood is gathered in a task. Steps grow with the logarithm of the size.
+    A step links each node's larger neighbours to the least one around (large star), then
+    its smaller ones (small star): joins with pre-aggregated minima, written to the shared
+    folder. No neighbourhood is gathered in a task, and steps grow with the logarithm of
+    the size. All is done when only stars are left, as each centre is its star's least node.
     """
     spark = edges.sparkSession
     now, path = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-
-    def mark(df: DataFrame):
-        return df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-
-    seen = mark(now)
-    while seen[0]:
+    while not _is_stars(now):
         both = now.union(now.select("b", "a"))
         least = both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(least, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -32,7 +35,5 @@ def components(edges: DataFrame) -> DataFrame:
         after, new = written(step.where("a <> b").distinct(), "edges")
         forget(spark, mid)
         forget(spark, path)
-        now, path, was, seen = after, new, seen, mark(after)
-        if was == seen:
-            break
+        now, path = after, new
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
