@@ -268,3 +268,32 @@ def drop_found(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> Dat
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+def _triples_sql(words: str) -> str:
+    return f"CASE WHEN len({words}) < 3 THEN list_distinct({words}) ELSE list_distinct(list_transform(range(len({words}) - 2), lambda k: {words}[k + 1] || ' ' || {words}[k + 2] || ' ' || {words}[k + 3])) END"
+
+
+_WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+')"
+
+#: For tables whose letters all have the lower case that ``words`` gives them.
+ORACLE = f"""
+WITH items AS (SELECT item_id, row_number() OVER () AS k, w FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) >= {LEAST}),
+size AS (SELECT max(len(w)) AS step, avg(len(w)) AS average, count(*) AS items FROM items),
+tf AS (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(w) AS term FROM items) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
+raw AS (SELECT k, term, tf * ({K1} + 1) / (tf + {K1} * (1 - {B} + {B} * len(w) / average)) * ln(1 + (items - df + 0.5) / (df + 0.5)) AS v FROM tf JOIN df USING (term) JOIN items USING (k), size),
+impact AS (SELECT k, term, v / sum(v) OVER (PARTITION BY k) AS impact FROM raw),
+d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS w FROM documents),
+tokens AS (SELECT r, unnest(w) AS term, unnest(range(len(w))) AS i FROM d),
+win AS (SELECT DISTINCT r, i // step AS win, term FROM tokens, size UNION SELECT DISTINCT r, i // step - 1, term FROM tokens, size WHERE i >= step),
+found AS (SELECT r, win, k, sum(impact) AS score FROM win JOIN impact USING (term) GROUP BY ALL HAVING sum(impact) >= {THRESHOLD} - 1e-9),
+parts AS (SELECT item_id, k, {_triples_sql('q')} AS q, len(q) >= 3 AS q3, {_triples_sql('a')} AS a, len(a) >= 3 AS a3
+  FROM (SELECT item_id, k, w[1 : len(w) - greatest(1, len(w) // 4)] AS q, w[len(w) - greatest(1, len(w) // 4) + 1 :] AS a FROM items)),
+inside AS (SELECT doc_id, f.r, k, score, w[win * step + 1 : win * step + 2 * step] AS x FROM found f JOIN d ON d.r = f.r, size),
+held AS (SELECT *, {_triples_sql('x')} AS x3 FROM inside),
+overlap AS (SELECT doc_id, r, k, item_id, score, len(list_intersect(q, CASE WHEN q3 THEN x3 ELSE x END)) / CAST(len(q) AS DOUBLE) AS question_overlap,
+  len(list_intersect(a, CASE WHEN a3 THEN x3 ELSE x END)) / CAST(len(a) AS DOUBLE) AS answer_overlap FROM held JOIN parts USING (k)),
+best AS (SELECT *, row_number() OVER (PARTITION BY r, k ORDER BY score DESC, question_overlap DESC, answer_overlap DESC) AS n FROM overlap WHERE question_overlap >= {QUESTION} AND answer_overlap >= {ANSWER})
+SELECT doc_id, item_id, round(score, 9) AS score, round(question_overlap, 9) AS question_overlap, round(answer_overlap, 9) AS answer_overlap FROM best WHERE n = 1
+"""

@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op4_balltree": balltree.ORACLE,
+    "op5_decontamination": decontaminate.ORACLE,
     "op7_jaccard": jaccard.ORACLE,
     "op9_warc": warc.ORACLE,
     "op10_mixing": mixing.ORACLE,
