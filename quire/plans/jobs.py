@@ -57,6 +57,9 @@ class Jobs:
         job.thread.start()
         return job.tag
 
+    def known(self, job_id: str) -> bool:
+        return job_id in self._jobs
+
     def status(self, job_id: str) -> dict:
         """The state; while it runs, also tasks done (n) and the total given."""
         job = self._jobs[job_id]

@@ -155,3 +155,42 @@ def test_command_line(spark, tmp_path, capsys):
     assert len(Document((tmp_path / "out/a-dual.pdf").read_bytes()).pages) == 2
     assert main([str(tmp_path / "in"), "--dir"], engine) == 1  # one file is broken
     assert (tmp_path / "in/a-mono.pdf").exists() and "b.PDF" in capsys.readouterr().err
+
+
+def test_service(spark):
+    import json
+    import threading
+    import time
+    import urllib.error
+    import urllib.request
+
+    from quire.plans import service
+
+    engine = lambda spec, lang_in, lang_out: memory.Engine(spec, lang_in, lang_out, "", memory.pseudo(lang_out))
+    web = service.server(spark, ("127.0.0.1", 0), engine)
+    threading.Thread(target=web.serve_forever, daemon=True).start()
+    root = f"http://127.0.0.1:{web.server_port}/v1/translate"
+
+    def ask(path="", data=None, kind="text/plain", method=None):
+        request = urllib.request.Request(root + path, data=data, headers={"Content-Type": kind}, method=method)
+        try:
+            with urllib.request.urlopen(request, timeout=60) as answer:
+                return answer.status, answer.read()
+        except urllib.error.HTTPError as failure:
+            return failure.code, failure.read()
+
+    options = json.dumps({"service": "pseudo", "lang_out": "fr", "pages": "1"}).encode()
+    form = b'--x\r\nContent-Disposition: form-data; name="data"\r\n\r\n' + options + b'\r\n--x\r\nContent-Disposition: form-data; name="file"; filename="a.pdf"\r\nContent-Type: application/pdf\r\nContent-Transfer-Encoding: binary\r\n\r\n' + sample() + b"\r\n--x--\r\n"
+    status, said = ask(data=form, kind="multipart/form-data; boundary=x")
+    job = json.loads(said)["id"]
+    assert status == 200 and ask("/none")[0] == 404 and ask(data=b"", kind="multipart/form-data; boundary=x")[0] == 400
+    for _ in range(120):
+        state = json.loads(ask(f"/{job}")[1])["state"]
+        if state == "SUCCESS":
+            break
+        assert ask(f"/{job}/mono")[0] == 400 and state in ("PENDING", "PROGRESS")
+        time.sleep(0.5)
+    mono, dual = (ask(f"/{job}/{k}")[1] for k in ("mono", "both"))
+    assert "".join(i["ch"] for i in pdf.page_items(mono) if i["ch"]).startswith("[fr] Hello") and len(Document(dual).pages) == 2
+    assert json.loads(ask(f"/{job}", method="DELETE")[1])["state"] == "SUCCESS"
+    web.shutdown()
