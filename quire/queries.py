@@ -299,11 +299,11 @@ def line_height_for_lang(spark, sf_dir):
 # Pages
 
 
-@query("SELECT p_partkey, list_concat(list_concat(range(p_size - 1, p_size + 3), [p_size - 1]), range(8, p_size)) AS pages FROM (SELECT p_partkey, CAST(p_size AS INTEGER) AS p_size FROM part)")
+@query("SELECT p_partkey, array_to_string(list_concat(list_concat(range(p_size - 1, p_size + 3), [p_size - 1]), range(8, p_size)), ',') AS pages FROM (SELECT p_partkey, CAST(p_size AS INTEGER) AS p_size FROM part)")
 def page_range_parse(spark, sf_dir):
     n = F.col("p_size").cast("string")
     spec = F.concat(n, F.lit("-"), (F.col("p_size") + 3).cast("string"), F.lit(","), n, F.lit(",9-"), n)
-    return table(spark, sf_dir, "part").select("p_partkey", F.transform(pages.parse_ranges(spec), lambda x: x.cast("long")).alias("pages"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(pages.parse_ranges(spec), lambda x: x.cast("string")), ",").alias("pages"))
 
 
 @query(f"WITH {PAGES} SELECT doc_id, pageno FROM pages_ WHERE pageno IN (0, 2, 5)")
@@ -407,9 +407,9 @@ def _classed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.classified(derived.glyphs(docs), derived.boxes(docs), class_names(spark), derived.PAGE_WIDTH, derived.PAGE_HEIGHT)
 
 
-@query(f"WITH {CLASSED} SELECT doc_id, pageno, cls, CAST(count(*) AS BIGINT) AS n, sum(seq) AS seqs FROM classed GROUP BY ALL")
+@query(f"WITH {CLASSED} SELECT doc_id, pageno, cls, CAST(count(*) AS BIGINT) AS n, CAST(sum(seq) AS BIGINT) AS seqs FROM classed GROUP BY ALL")
 def layout_class_join(spark, sf_dir):
-    return _classed(spark, sf_dir).groupBy("doc_id", "pageno", F.col("cls").cast("int").alias("cls")).agg(F.count("*").alias("n"), F.sum("seq").cast("decimal(38,0)").alias("seqs"))
+    return _classed(spark, sf_dir).groupBy("doc_id", "pageno", F.col("cls").cast("int").alias("cls")).agg(F.count("*").alias("n"), F.sum("seq").alias("seqs"))
 
 
 ISLANDS = f"{GLYPHS}, k AS (SELECT *, (seq // 97) % 3 AS cls FROM glyphs), s AS (SELECT *, CASE WHEN lag(cls) OVER w IS DISTINCT FROM cls THEN 1 ELSE 0 END AS start FROM k WINDOW w AS (PARTITION BY doc_id, pageno ORDER BY seq)), i AS (SELECT *, CAST(sum(start) OVER (PARTITION BY doc_id, pageno ORDER BY seq) - 1 AS INTEGER) AS para_idx FROM s)"
@@ -497,11 +497,11 @@ def font_choice(spark, sf_dir):
     return g.groupBy("doc_id", "pageno", font.alias("font")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("wide"), 6).otherwise(5)).alias("advance"))
 
 
-@query("SELECT l_orderkey, l_linenumber, {'left': '<b' || l_linenumber || '>', 'right': '</b' || l_linenumber || '>'} AS tags, '{{v' || (l_linenumber + 1) || '}}' AS after FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, '<b' || l_linenumber || '>' AS left_mark, '</b' || l_linenumber || '>' AS right_mark, '{{v' || (l_linenumber + 1) || '}}' AS after FROM lineitem")
 def rich_text_marks(spark, sf_dir):
     n = F.col("l_linenumber")
     tags = tx.rich_text_marks(n)
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.struct(tags["left"].alias("left"), tags["right"].alias("right")).alias("tags"), tx.rich_text_marks(n, "braces")["right"].alias("after"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", tags["left"].alias("left_mark"), tags["right"].alias("right_mark"), tx.rich_text_marks(n, "braces")["right"].alias("after"))
 
 
 # Drawing operators and assembly
@@ -545,14 +545,15 @@ def tolerant_numbers(spark, sf_dir):
 
 @query(
     """WITH c AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS x0, CAST(p_partkey % 50 AS DOUBLE) AS y0, p_size + 600.0::DOUBLE AS x1, p_partkey % 50 + 800.0::DOUBLE AS y1, p_partkey % 5 * 90 AS r FROM part)
-SELECT p_partkey, CASE r WHEN 90 THEN [0, -1, 1, 0, -y0, x1] WHEN 180 THEN [-1, 0, 0, -1, x1, y1] WHEN 270 THEN [0, 1, -1, 0, y1, -x0] ELSE [1, 0, 0, 1, -x0, -y0] END AS ctm,
+SELECT p_partkey, CAST(CASE r WHEN 90 THEN 0 WHEN 180 THEN -1 WHEN 270 THEN 0 ELSE 1 END AS DOUBLE) AS a, CAST(CASE r WHEN 90 THEN -1 WHEN 270 THEN 1 ELSE 0 END AS DOUBLE) AS b,
+  CASE r WHEN 90 THEN -y0 WHEN 180 THEN x1 WHEN 270 THEN y1 ELSE -x0 END AS e, CASE r WHEN 90 THEN x1 WHEN 180 THEN y1 WHEN 270 THEN -x0 ELSE -y0 END AS f,
   CASE WHEN r IN (90, 270) THEN 800.0::DOUBLE ELSE 600.0::DOUBLE END AS width FROM c"""
 )
 def page_ctm(spark, sf_dir):
     x0, y0 = F.col("p_size").cast("double"), (F.col("p_partkey") % 50).cast("double")
     ctm = geometry.page_ctm(F.col("p_partkey") % 5 * 90, x0, y0, x0 + 600.0, y0 + 800.0)
     rows = table(spark, sf_dir, "part").withColumn("ctm", ctm)
-    return rows.select("p_partkey", "ctm", geometry.extent(F.col("ctm"), x0, y0, x0 + 600.0, y0 + 800.0)["width"].alias("width"))
+    return rows.select("p_partkey", *[F.col("ctm")[k].alias(c) for k, c in ((0, "a"), (1, "b"), (4, "e"), (5, "f"))], geometry.extent(F.col("ctm"), x0, y0, x0 + 600.0, y0 + 800.0)["width"].alias("width"))
 
 
 @query(
