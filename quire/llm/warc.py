@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import map_batches, new_path, table
+from quire.llm.common import map_batches, new_path, table, written
 
 #: A record's end in the format; the writer puts it after each row.
 END = "\r\n\r\n"
@@ -50,12 +50,14 @@ def headers(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> D
 def responses(found: DataFrame, least: int = 0) -> DataFrame:
     """page_id, payload_digest and response (the id that holds the payload), distinct.
 
-    The response of a digest comes from a pre-aggregated maximum over headers, so that a
-    digest with very many rows meets in no task; the join splits large partitions.
+    Only digests that come again are looked up, from a table of pre-aggregated maxima that
+    is written first: both sides of the join are then shuffles of their own, and Spark can
+    split the task of a digest with very many rows.
     """
     found = found.where(F.col("payload_bytes") >= least).select("page_id", "payload_digest").distinct()
-    first = found.groupBy(F.col("payload_digest").alias("d")).agg(F.max("page_id").alias("response"))
-    return found.join(first, F.col("payload_digest") == F.col("d")).select("page_id", "payload_digest", "response")
+    shared, _ = written(found.groupBy(F.col("payload_digest").alias("d")).agg(F.max("page_id").alias("last"), F.count("*").alias("rows")).where("rows > 1").select("d", "last"), "responses")
+    joined = found.join(shared, F.col("payload_digest") == F.col("d"), "left")
+    return joined.select("page_id", "payload_digest", F.when(F.col("d").isNull(), F.col("page_id")).otherwise(F.col("last")).alias("response"))
 
 
 def _lines(*fields: tuple[str, object]):
@@ -146,8 +148,13 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def resolved(archive: DataFrame) -> DataFrame:
-    """Each record with its full payload's length: a revisit takes its response's."""
-    originals = archive.where("record_type = 'response'").groupBy(F.col("payload_digest").alias("d"), F.col("page_id").alias("p")).agg(F.max("held_bytes").alias("full"))
+    """Each record with its full payload's length: a revisit takes its response's.
+
+    The archive's headers and the responses are written first: payloads are parsed once, and
+    the join can split the task of a response that very many records name.
+    """
+    archive, _ = written(archive, "headers")
+    originals, _ = written(archive.where("record_type = 'response'").select(F.col("payload_digest").alias("d"), F.col("page_id").alias("p"), F.col("held_bytes").alias("full")).distinct(), "originals")
     revisits = archive.where("record_type = 'revisit'").join(originals, (F.col("payload_digest") == F.col("d")) & (F.col("refers_to") == F.col("p")), "left")
     columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     return revisits.withColumn("payload_bytes", F.col("full")).select(*columns).unionByName(archive.where("record_type = 'response'").withColumn("payload_bytes", F.col("held_bytes")).select(*columns))
