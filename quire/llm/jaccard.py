@@ -309,7 +309,9 @@ def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width:
         forget(spark, done)
     labelled = classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))
     least = labelled.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("component_id"))
-    named = labelled.join(least, F.col("root") == F.col("r")).select(F.col("cls").alias("class_id"), "component_id")
+    # Written, so that the join reads both sides from shuffles of their own and can split the
+    # task of a class that very many rows share.
+    named, _ = written(labelled.join(least, F.col("root") == F.col("r")).select(F.col("cls").alias("class_id"), "component_id"), "named")
     joined = rows.where("cls is not null").join(named, F.col("cls") == F.col("class_id")).select("id", "n", "component_id", "class_id")
     alone = rows.where("cls is null").select("id", "n", F.col("id").alias("component_id"), F.lit(None).cast("long").alias("class_id"))
     return joined.union(alone).select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), "component_id", "class_id")
