@@ -257,7 +257,7 @@ def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width:
     pairs = found.where(F.col("found") >= enough).select("a", "b")
     # A partner may have as few as percent of the tokens, and so a lesser l.
     dense = many.join(hot, "cls").where(F.col("hot") >= 1 + F.floor(F.floor(F.col("n") * percent / 100) / SHARED)).select("token", "cls")
-    first = dense.groupBy("token").agg(F.min("cls").alias("a"))
+    first, _ = written(dense.groupBy("token").agg(F.min("cls").alias("a")), "least")  # written, so that the join can split
     groups = components(pairs.union(dense.join(first, "token").where("a <> cls").select("a", F.col("cls").alias("b")).distinct()))
     sized = groups.join(classes, F.col("node") == F.col("cls")).select("root", "node", "n")
     blocks = sized.groupBy(F.col("root").alias("r")).agg(F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"))
