@@ -196,7 +196,8 @@ def call_engine(texts: DataFrame, engine: Engine, threads: int = 4) -> DataFrame
             for batch in batches:
                 yield pd.DataFrame(list(pool.map(one, batch["text"])), columns=["text", "translation", "status"])
 
-    return texts.select("text").mapInPandas(run, TRANSLATED)
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, long waits: tasks are not merged
+    return texts.select("text").repartition(tasks, "text").mapInPandas(run, TRANSLATED)
 
 
 def translate(paragraphs: DataFrame, engine: Engine, memory: Memory | DataFrame | None = None, ignore_cache: bool = False, threads: int = 4, text: str = "text") -> DataFrame:

@@ -13,7 +13,7 @@ import unicodedata
 from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -158,12 +158,15 @@ def typeset(containers: DataFrame, metrics: Metrics, lang_out: str) -> DataFrame
     """containers (paragraphs, texts, formulas, lines beside the key) to their new stream, ops."""
     held = containers.sparkSession.sparkContext.broadcast(metrics)  # two fonts' tables
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ops = [set_container(list(r.paragraphs), list(r.texts), list(r.formulas), list(r.lines), held.value, lang_out) for r in batch.itertuples()]
-            yield batch[["doc_id", "pageno", "container"]].assign(ops=ops)
+            ops = [set_container(r["paragraphs"], r["texts"], r["formulas"], r["lines"], held.value, lang_out) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ops, pa.string())], names=["doc_id", "pageno", "container", "ops"])
 
-    return containers.select("doc_id", "pageno", "container", "paragraphs", "texts", "formulas", "lines").mapInPandas(run, "doc_id long, pageno int, container string, ops string")
+    # Few bytes, much work: as many tasks as the session has shuffle partitions, not fewer.
+    tasks = int(containers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = containers.select("doc_id", "pageno", "container", "paragraphs", "texts", "formulas", "lines").repartition(tasks, "doc_id", "pageno", "container")
+    return spread.mapInArrow(run, "doc_id long, pageno int, container string, ops string")
 
 
 # Rules without feedback, as expressions.

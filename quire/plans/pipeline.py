@@ -68,7 +68,9 @@ def translate_pages(glyphs: DataFrame, boxes: DataFrame, class_names: DataFrame,
     sized = "page_w" in glyphs.columns  # then boxes have the page's size too
     size = (F.col("page_w").cast("int"), F.col("page_h").cast("int")) if sized else (int(options.page_width), int(options.page_height))
     classed = layout.classified(wanted, boxes, class_names, *size)
-    parts = segment.segment(classed, "page_w" if sized else options.page_width, options.rules)
+    # Read by the memory's lookup, by the join with its answers and by typesetting; a part
+    # that is lost with its executor is computed again.
+    parts = segment.segment(classed, "page_w" if sized else options.page_width, options.rules).persist()
     key = ["doc_id", "pageno", "container"]
     paragraphs = parts.select(*key, F.explode("paragraphs").alias("p")).select(*key, "p.para_idx", "p.text")
     texts = assemble.joined_paragraphs(memory.translate(paragraphs, engine, store, options.ignore_cache, options.threads).withColumn("translation", F.coalesce("translation", "text")))
