@@ -1,10 +1,9 @@
 """Line deduplication by pairwise alignment.
 
 Each document's lines become hashes. A document's overlap with earlier ones is found by
-its rare lines, pairs of successive lines, and the whole list of lines: those that at most
-``rare`` documents hold, and, where half of its text or more is shared, as in large groups
-of copies, its least frequent shared ones. Each leads to one partner, the earliest document
-that holds it, so what n documents share gives n - 1 pairs and not all of them. Hash lists of each pair are
+its lines, pairs of successive lines, and the whole list of lines, however many documents
+hold them. Each leads to one partner, the earliest document that holds it, so what n
+documents share gives n - 1 pairs and not all of them. Hash lists of each pair are
 aligned with patience diff, and aligned common blocks of ``least`` characters or more are
 deleted from the later document. The earliest holder of a line never loses it, so every
 line stays somewhere.
@@ -24,13 +23,13 @@ from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm.common import map_batches, table, without, written
 
-RARE, LEAST = 64, 30
+LEAST = 30
 
 
 def patience(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
@@ -106,30 +105,26 @@ def hashed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     )
 
 
-def partners(listed: DataFrame, rare: int = RARE) -> DataFrame:
+def partners(listed: DataFrame) -> DataFrame:
     """Distinct pairs (later, earlier) of documents, as structs of id and version."""
     key = F.struct("id", "version")
-    solid = F.filter(F.arrays_zip("lines", "chars"), lambda x: x["lines"].isNotNull())
-    whole = F.struct(F.xxhash64("lines", F.lit("whole")).alias("line"), F.lit(0).alias("chars"))
-    pair = F.transform("s", lambda x, k: F.struct(F.when(k > 0, F.xxhash64(F.col("s")[F.greatest(k - 1, F.lit(0))]["lines"], x["lines"])).alias("line"), F.lit(0).alias("chars")))
-    line = F.transform("s", lambda x: F.struct(x["lines"].alias("line"), x["chars"].alias("chars")))
-    held = listed.withColumn("s", solid).where(F.size("s") > 0).select(key.alias("doc"), F.explode(F.concat(line, pair, F.array(whole))).alias("x")).select("doc", "x.line", "x.chars").where("line is not null")
-    once = held.groupBy("doc", "line").agg(F.sum("chars").alias("chars"))
+    solid = F.filter("lines", lambda x: x.isNotNull())
+    whole = F.xxhash64("lines", F.lit("whole"))
+    pair = F.transform("s", lambda x, k: F.when(k > 0, F.xxhash64(F.col("s")[F.greatest(k - 1, F.lit(0))], x)))
+    once = listed.withColumn("s", solid).where(F.size("s") > 0).select(key.alias("doc"), F.explode(F.concat("s", pair, F.array(whole))).alias("line")).where("line is not null").distinct()
     # Written, so that the join reads both sides from shuffles of their own and can split a
     # very common line.
     holders, _ = written(once.groupBy("line").agg(F.count("*").alias("df"), F.min("doc").alias("first")).where("df > 1"), "holders")
-    shared = once.join(holders, "line")
-    by_doc = Window.partitionBy("doc")
-    size = listed.select(key.alias("doc"), F.aggregate("chars", F.lit(0), lambda a, x: a + x).alias("size"))
-    weighed = shared.withColumn("least_df", F.min("df").over(by_doc)).withColumn("shared_chars", F.sum("chars").over(by_doc))
-    picked = weighed.join(size, "doc").where((F.col("df") <= rare) | ((F.col("df") == F.col("least_df")) & (2 * F.col("shared_chars") >= F.col("size"))))
-    return picked.where("first < doc").select(F.col("doc").alias("later"), F.col("first").alias("earlier")).distinct()
+    return once.join(holders, "line").where("first < doc").select(F.col("doc").alias("later"), F.col("first").alias("earlier")).distinct()
 
 
-def common_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rare: int = RARE, least: int = LEAST) -> DataFrame:
-    """id, version, ranges of lines to delete, for each document that loses some."""
+def common_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rare: int | None = None, least: int = LEAST) -> DataFrame:
+    """id, version, ranges of lines to delete, for each document that loses some.
+
+    ``rare`` once bounded the documents that hold a line; it is accepted and changes nothing.
+    """
     listed, _ = written(hashed(docs, doc_id, text).dropDuplicates(["id", "version"]), "lines")
-    pairs, _ = written(partners(listed, rare), "partners")
+    pairs, _ = written(partners(listed), "partners")
     key = F.struct("id", "version")
     later = listed.select(key.alias("later"), F.col("lines").alias("b"), "chars")
     earlier = listed.select(key.alias("earlier"), F.col("lines").alias("a"))
@@ -148,7 +143,7 @@ def common_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", r
     return aligned.where(F.size("ranges") > 0).groupBy("id", "version").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ranges")))).alias("ranges"))
 
 
-def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rare: int = RARE, least: int = LEAST) -> DataFrame:
+def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rare: int | None = None, least: int = LEAST) -> DataFrame:
     """docs with ``text`` cleaned, and n_lines, n_removed, removed (ranges from-to, by comma)."""
     docs = without(docs, "n_lines", "n_removed", "removed")
     found, _ = written(common_blocks(docs, doc_id, text, rare, least).withColumnRenamed("id", "__id").withColumnRenamed("version", "__version"), "blocks")

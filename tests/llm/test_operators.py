@@ -90,6 +90,15 @@ def test_common_blocks_leave_the_later_document(spark):
     assert got[5].text.split("\n") == own[3]
 
 
+def test_passage_of_many_documents_goes_from_all_later_ones(spark):
+    passage = [f"line {k} of the passage, one that very many documents hold" for k in range(5)]
+    own = {d: [f"line {k} of document {d}, which no other document holds at all" for k in range(8)] for d in range(200)}
+    rows = [(d, "\n".join(x[: d % 9] + passage + x[d % 9 :])) for d, x in own.items()]
+    got = {x.doc_id: x for x in lines.clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0].text == rows[0][1] and got[0].n_removed == 0
+    assert all(got[d].text.split("\n") == own[d] and got[d].n_removed == 5 for d in range(1, 200))
+
+
 def test_every_line_stays_somewhere(spark):
     r = random.Random(4)
     pool = [f"line {k} of a pool of lines that is long enough to count" for k in range(60)]
