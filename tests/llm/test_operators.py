@@ -99,6 +99,21 @@ def test_passage_of_many_documents_goes_from_all_later_ones(spark):
     assert all(got[d].text.split("\n") == own[d] and got[d].n_removed == 5 for d in range(1, 200))
 
 
+def test_rare_lines_do_not_hide_the_common_ones(spark):
+    body = [f"line {k} of a body, one that a large group of near copies holds" for k in range(10)]
+    own = {d: [f"line {k} of document {d}, which no near copy but its own holds" for k in range(2)] for d in range(100)}
+    rows = {d: body[:5] + x + body[5:] for d, x in own.items()}
+    rows |= {200 + d: rows[d] for d in range(10, 20)}  # later exact copies
+    rows |= {300 + d: [own[d][0], f"another line of document {300 + d}, its own one"] for d in range(20, 30)}  # later, one line shared
+    rows |= {-50 + d: [own[d][1], f"another line of document {-50 + d}, its own one"] for d in range(30, 40)}  # earlier, one line shared
+    df = spark.createDataFrame([(d, "\n".join(x)) for d, x in rows.items()], "doc_id long, text string")
+    got = {x.doc_id: x.text.split("\n") for x in lines.clean(df).collect()}
+    assert got[0] == rows[0]
+    assert all(got[d] == own[d][: 1 if 30 <= d < 40 else 2] for d in range(1, 100))
+    assert all(got[200 + d] == [""] for d in range(10, 20))
+    assert all(got[300 + d] == rows[300 + d][1:] for d in range(20, 30))
+
+
 def test_every_line_stays_somewhere(spark):
     r = random.Random(4)
     pool = [f"line {k} of a pool of lines that is long enough to count" for k in range(60)]
