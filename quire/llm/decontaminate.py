@@ -11,7 +11,9 @@ each item, its terms least useful for skipping are set aside while their impacts
 less than half the threshold; what a window gathers from the others must reach the rest.
 The test drops no window that WAND would answer. Windows that remain go through block-max
 WAND, which returns every item at or above the threshold. An item is found if enough of
-the word triples of its question and of its answer (its last quarter) lie in the window.
+the word triples of its question and of its answer (its last quarter) lie in the window:
+the rule of the SQL. ``drop_found`` also takes an item whose answer is edited or cut off, if
+a stretch of the window holds enough of the whole item by edit distance in words.
 
 The index is built on the driver and broadcast in parts of at most ``MAX_PART_BYTES`` of
 item text (statistics are those of a part); usually there is one.
@@ -39,6 +41,8 @@ from quire.llm.common import LOWER, map_batches, pieces, table, text_buffer
 K1, B = 1.2, 0.75
 #: Share of an item's own score that a window must reach; shares of word triples to find.
 THRESHOLD, QUESTION, ANSWER = 0.5, 0.6, 0.6
+#: Share of an item's words that stay after the edits that turn it into a stretch of text.
+WHOLE = 0.6
 LEAST, BLOCK, STEP = 5, 16, 1 << 19
 MAX_PART_BYTES = 32 << 20
 
@@ -63,6 +67,17 @@ def _triples(w: np.ndarray) -> np.ndarray:
     return np.unique(common.mixed(w[:-2] * np.uint64(0x100000001B3) ** np.uint64(2) + w[1:-1] * np.uint64(0x100000001B3) + w[2:]))
 
 
+def kept_words(item: np.ndarray, text: np.ndarray) -> int:
+    """Words of the item less the fewest edits that turn it into some stretch of the text."""
+    at = np.arange(len(text) + 1)
+    edits = np.zeros(len(text) + 1, np.int64)
+    for w in item:
+        step = edits + 1
+        step[1:] = np.minimum(step[1:], edits[:-1] + (text != w))
+        edits = np.minimum.accumulate(step - at) + at
+    return len(item) - int(edits.min())
+
+
 @dataclass
 class Index:
     ids: list  # item ids
@@ -78,6 +93,7 @@ class Index:
     #: Of each item, question and answer: triples, or words where there are under three.
     parts: list[tuple[tuple[np.ndarray, bool], tuple[np.ndarray, bool]]]
     length: int  # words of the longest item
+    texts: list[np.ndarray]  # word hashes of each item
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """Term number of each word, or -1."""
@@ -125,7 +141,7 @@ def build(items: list[tuple], threshold: float = THRESHOLD) -> Index | None:
     for _, w in texts:
         c = len(w) - max(1, len(w) // 4)
         parts.append(tuple((_triples(x), len(x) >= 3) for x in (w[:c], w[c:])))
-    return Index([i for i, _ in texts], terms, maybe, first, item, impact, most, blocks, essential, need, parts, max(len(w) for _, w in texts))
+    return Index([i for i, _ in texts], terms, maybe, first, item, impact, most, blocks, essential, need, parts, max(len(w) for _, w in texts), [w for _, w in texts])
 
 
 def wand(index: Index, query: np.ndarray, threshold: float = THRESHOLD) -> list[tuple[int, float]]:
@@ -179,8 +195,12 @@ def wand(index: Index, query: np.ndarray, threshold: float = THRESHOLD) -> list[
                     seek(k, item)
 
 
-def matches(index: Index, column: pa.Array) -> Iterator[tuple[int, int, float, float, float]]:
-    """Row, item number, score, overlap of question and answer: each item once a row."""
+def matches(index: Index, column: pa.Array, whole: bool = False) -> Iterator[tuple[int, int, float, float, float]]:
+    """Row, item number, score, overlap of question and answer: each item once a row.
+
+    With ``whole``, also items of which a window keeps the share ``WHOLE`` of all words, and
+    ``LEAST`` words at least, whatever their question and answer.
+    """
     buf, offs = text_buffer(column)
     step = index.length
     items = len(index.ids)
@@ -214,7 +234,10 @@ def matches(index: Index, column: pa.Array) -> Iterator[tuple[int, int, float, f
             inside = hashes[lo : min(begin[r + 1], lo + 2 * step)]
             for item, score in wand(index, terms[a:z]):
                 parts = [float(np.isin(x, _triples(inside) if triples else inside).mean()) for x, triples in index.parts[item]]
-                if parts[0] >= QUESTION and parts[1] >= ANSWER and (score, *parts) > best.get((i + r, item), (0.0, 0.0, 0.0)):
+                found = parts[0] >= QUESTION and parts[1] >= ANSWER
+                if not found and whole and (i + r, item) not in best:
+                    found = kept_words(index.texts[item], inside) >= max(WHOLE * len(index.texts[item]) - 1e-9, LEAST)
+                if found and (score, *parts) > best.get((i + r, item), (0.0, 0.0, 0.0)):
                     best[i + r, item] = (score, *parts)
         for (r, item), x in sorted(best.items()):
             yield r, item, *x
@@ -251,7 +274,7 @@ def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
 
 
 def drop_found(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """docs without those that hold an item; texts are neither shuffled nor joined."""
+    """docs without those that hold an item, edited or cut too; texts are neither shuffled nor joined."""
     context, at, names = docs.sparkSession.sparkContext, docs.columns.index(text), docs.columns
     for index in indexes(benchmark):
         held = context.broadcast(index)
@@ -259,7 +282,7 @@ def drop_found(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> Dat
         def keep(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 good = np.ones(batch.num_rows, bool)
-                good[[x[0] for x in matches(held.value, batch.column(at))]] = False
+                good[[x[0] for x in matches(held.value, batch.column(at), whole=True)]] = False
                 yield batch.filter(pa.array(good)).rename_columns(names)
 
         docs = map_batches(docs, keep, docs.schema)

@@ -265,6 +265,42 @@ def test_found_items_against_brute_force(spark):
     assert {x.doc_id for x in decontaminate.drop_found(frame, bench).collect()} == {d for d, _ in docs} - {d for d, _ in want}
 
 
+def test_edited_and_cut_items_are_dropped(spark):
+    r = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(2000)]
+    items = [(k, r.choices(vocabulary, k=r.randrange(15, 60))) for k in range(60)]
+
+    def edited(item, share):
+        out = list(item)
+        for k in [len(item) - 2, *r.sample(range(len(item) - 2), max(1, round(share * len(item))) - 1)]:
+            out[k] = "changed"
+        return out
+
+    kinds = [lambda x: edited(x, 0.05), lambda x: edited(x, 0.1), lambda x: x[: len(x) - len(x) // 4], lambda x: x[: len(x) // 3], lambda x: r.sample(x, len(x) // 2)]
+    docs = []
+    for k, item in items:
+        for n, kind in enumerate(kinds):
+            words = r.choices(vocabulary, k=r.randrange(300))
+            at = r.randrange(len(words) + 1)
+            docs.append((10 * k + n, " ".join(words[:at] + kind(item) + words[at:])))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in items], "item_id long, text string")
+    assert {x.doc_id for x in decontaminate.drop_found(frame, bench).collect()} == {d for d, _ in docs if d % 10 > 2}
+
+
+def test_kept_words():
+    r = random.Random(13)
+    for _ in range(200):
+        item, text = r.choices(range(6), k=r.randrange(1, 9)), r.choices(range(6), k=r.randrange(12))
+        row = [0] * (len(text) + 1)
+        for i, w in enumerate(item, 1):
+            new = [i]
+            for j, x in enumerate(text, 1):
+                new.append(min(row[j - 1] + (w != x), row[j] + 1, new[-1] + 1))
+            row = new
+        assert decontaminate.kept_words(np.array(item, np.uint64), np.array(text, np.uint64)) == len(item) - min(row)
+
+
 def test_batch_test_drops_no_window(monkeypatch):
     r = random.Random(10)
     vocabulary = [f"w{k}" for k in range(60)]
