@@ -8,12 +8,17 @@ aligned with patience diff, and aligned common blocks of ``least`` characters or
 deleted from the later document. The earliest holder of a line never loses it, so every
 line stays somewhere.
 
-Order: by doc_id (null first), then by a hash of the text. Lines are compared as they are,
-byte for byte; blank lines go with the block that they stand in.
+Order: by doc_id (null first), then by a hash of the text, so no two documents tie. Lines
+are found by 64-bit hashes; an aligned pair of lines counts only if 128 bits of SHA-256 of
+the two agree as well, so a chance collision cuts nothing. Blank lines go with the block
+that they stand in.
 
 Defined results: rows equal in doc_id and text are one document, each getting its result;
-a null text has no lines and stays null; an empty text is one empty line; extra columns
-stay (in ``clean``) or are ignored; an empty table gives an empty result.
+a null text has no lines and stays null; an empty text is one empty line; of several
+earlier documents that hold a line the first in order is the partner; a very long text is
+aligned whole, by one task that holds the digests of its lines (24 bytes a line) and those
+of one partner; extra columns stay (in ``clean``, whatever their names; those named like
+an output are replaced) or are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,9 +32,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import map_batches, table, without, written
+from quire.llm.common import map_batches, table, unused, without, written
 
 LEAST = 30
+#: Bytes of a line's SHA-256 that must agree before it is cut.
+PROOF = 16
 
 
 def patience(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
@@ -37,7 +44,8 @@ def patience(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
 
     Equal heads and tails match; between them lines unique to both sides, in their longest
     increasing order, are anchors, and the stretches between anchors are taken the same
-    way. A stretch without such lines aligns nothing.
+    way. In a stretch without such lines the k-th copy of a line on one side may meet the
+    k-th copy on the other, so that repeated lines align too.
     """
     out = []
     todo = [(0, len(a), 0, len(b))]
@@ -54,7 +62,7 @@ def patience(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
         once_a, once_b = Counter(a[lo:hi]), Counter(b[x:y])
         at = {v: j for j, v in enumerate(b[x:y], x) if once_b[v] == 1}
         both = [(i, at[v]) for i, v in enumerate(a[lo:hi], lo) if once_a[v] == 1 and v in at]
-        anchors = _increasing(both)
+        anchors = _increasing(both) or _increasing(_by_copy(a, lo, hi, b, x, y))
         if not anchors:
             continue
         edges = [(lo - 1, x - 1), *anchors, (hi, y)]
@@ -63,6 +71,20 @@ def patience(a: Sequence, b: Sequence) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _by_copy(a: Sequence, lo: int, hi: int, b: Sequence, x: int, y: int) -> list[tuple[int, int]]:
+    """Pairs of the k-th copies of each line but blank ones, ascending in the first member."""
+    at, n = {}, Counter()
+    for j in range(x, y):
+        n[b[j]] += 1
+        at[b[j], n[b[j]]] = j
+    out, n = [], Counter()
+    for i in range(lo, hi):
+        n[a[i]] += 1
+        if a[i] is not None and (a[i], n[a[i]]) in at:
+            out.append((i, at[a[i], n[a[i]]]))
+    return out
+
+
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """A longest run of pairs that ascends in the second member too (patience sorting)."""
     tops: list[int] = []
@@ -95,13 +117,14 @@ def blocks(pairs: list[tuple[int, int]], chars: Sequence[int], least: int = LEAS
 
 
 def hashed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, version, line hashes (null: blank) and line lengths of each different document."""
+    """id, version, line hashes (null: blank), lengths and digests of each different document."""
     lines = F.split(text, "\n", -1)
     return docs.where(F.col(text).isNotNull()).select(
         F.col(doc_id).alias("id"),
         F.xxhash64(text).alias("version"),
         F.transform(lines, lambda x: F.when(F.trim(x) != "", F.xxhash64(x))).alias("lines"),
         F.transform(lines, lambda x: F.length(x)).alias("chars"),
+        F.unhex(F.array_join(F.transform(lines, lambda x: F.substring(F.sha2(x, 256), 1, 2 * PROOF)), "")).alias("proof"),
     )
 
 
@@ -126,29 +149,32 @@ def common_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", r
     listed, _ = written(hashed(docs, doc_id, text).dropDuplicates(["id", "version"]), "lines")
     pairs, _ = written(partners(listed), "partners")
     key = F.struct("id", "version")
-    later = listed.select(key.alias("later"), F.col("lines").alias("b"), "chars")
-    earlier = listed.select(key.alias("earlier"), F.col("lines").alias("a"))
+    later = listed.select(key.alias("later"), F.col("lines").alias("b"), "chars", F.col("proof").alias("proof_b"))
+    earlier = listed.select(key.alias("earlier"), F.col("lines").alias("a"), F.col("proof").alias("proof_a"))
     shape = T.StructType([*[T.StructField(f.name, f.dataType) for f in listed.schema.fields[:2]], T.StructField("ranges", T.ArrayType(T.StructType([T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType())])))])
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
         for batch in batches:
             ranges = []
-            for a, b, chars in zip(batch.column(2), batch.column(3), batch.column(4), strict=True):
-                found = blocks(patience(a.as_py(), b.as_py()), chars.as_py(), least)
+            for a, b, chars, seen, mine in zip(*batch.columns[2:], strict=True):
+                seen, mine = seen.as_py(), mine.as_py()
+                same = [(i, j) for i, j in patience(a.as_py(), b.as_py()) if seen[PROOF * i : PROOF * (i + 1)] == mine[PROOF * j : PROOF * (j + 1)]]
+                found = blocks(same, chars.as_py(), least)
                 ranges.append([{"lo": lo, "hi": hi} for lo, hi in found])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ranges, kind)], names=["id", "version", "ranges"])
 
-    aligned = map_batches(pairs.join(later, "later").join(earlier, "earlier").select("later.id", "later.version", "a", "b", "chars"), align, shape)
+    aligned = map_batches(pairs.join(later, "later").join(earlier, "earlier").select("later.id", "later.version", "a", "b", "chars", "proof_a", "proof_b"), align, shape)
     return aligned.where(F.size("ranges") > 0).groupBy("id", "version").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ranges")))).alias("ranges"))
 
 
 def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rare: int | None = None, least: int = LEAST) -> DataFrame:
     """docs with ``text`` cleaned, and n_lines, n_removed, removed (ranges from-to, by comma)."""
     docs = without(docs, "n_lines", "n_removed", "removed")
-    found, _ = written(common_blocks(docs, doc_id, text, rare, least).withColumnRenamed("id", "__id").withColumnRenamed("version", "__version"), "blocks")
+    its_id, its_version, its_ranges = unused(docs, "id", "version", "ranges")
+    found, _ = written(common_blocks(docs, doc_id, text, rare, least).toDF(its_id, its_version, its_ranges), "blocks")
     # Texts are shuffled once at any size and not sorted; the other side is short ranges.
-    joined = docs.join(found.hint("shuffle_hash"), F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__version")), "left").drop("__id", "__version")
+    joined = docs.join(found.hint("shuffle_hash"), F.col(doc_id).eqNullSafe(F.col(its_id)) & (F.xxhash64(text) == F.col(its_version)), "left").drop(its_id, its_version)
     at, names = joined.columns.index(text), docs.columns
     shape = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.StringType())])
 
