@@ -114,6 +114,61 @@ def test_rare_lines_do_not_hide_the_common_ones(spark):
     assert all(got[300 + d] == rows[300 + d][1:] for d in range(20, 30))
 
 
+def brute_clean(docs):
+    """Line deduplication by comparing every document with the first holder of each line, pair and whole."""
+    order = sorted(docs, key=lambda x: x[0])
+    lists = {d: t.split("\n") for d, t in order}
+
+    def keys(ls):
+        solid = [x for x in ls if x.strip(" ")]
+        return {(x,) for x in solid} | set(itertools.pairwise(solid)) | {("whole", *ls)}
+
+    first = {}
+    for d, _ in order:
+        for k in keys(lists[d]):
+            first.setdefault(k, d)
+    out = {}
+    for d, _ in order:
+        mine, gone = lists[d], set()
+        for p in {first[k] for k in keys(mine) if any(x.strip(" ") for x in mine)} - {d}:
+            a, b = ([x if x.strip(" ") else None for x in lists[e]] for e in (p, d))
+            for lo, hi in lines.blocks([(i, j) for i, j in lines.patience(a, b) if lists[p][i] == mine[j]], [len(x) for x in mine]):
+                gone.update(range(lo, hi))
+        out[d] = "\n".join(x for k, x in enumerate(mine) if k not in gone)
+    return out
+
+
+@pytest.mark.parametrize("holders", [64, 65, 300])
+def test_clean_against_brute_force(spark, holders):
+    r = random.Random(holders)
+    notice = [f"line {k} of a notice that all of them hold, word for word" for k in range(3)]
+    pool = [f"line {k} of a pool, long enough to count" for k in range(40)] + ["", "  ", "short"]
+    docs = []
+    for d in range(holders):
+        own = [r.choice(pool) if r.random() < 0.4 else f"own line {d} {r.random()}" for _ in range(r.randrange(1, 9))]
+        at = r.randrange(len(own) + 1)
+        docs.append((d, "\n".join(own[:at] + notice + own[at:])))
+    want = brute_clean(docs)
+    got = {x.doc_id: x for x in lines.clean(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert {d: x.text for d, x in got.items()} == want
+    assert all(notice[0] not in x.text for d, x in got.items() if d)
+
+
+def test_repeated_lines_align():
+    assert lines.patience(list("xyxy"), list("zxyxyz")) == [(0, 1), (1, 2), (2, 3), (3, 4)]
+    assert lines.patience(list("aab"), list("caabbd"))[:2] == [(0, 1), (1, 2)]
+    assert [i for i, _ in lines.patience(list("pqpq"), list("1pqpq2pqpq3"))] == [0, 1, 2, 3]
+
+
+def test_equal_hashes_of_unequal_lines_cut_nothing(spark, monkeypatch):
+    monkeypatch.setattr(lines, "LEAST", 1)
+    rows = [(1, "first line of the one\nsecond line"), (2, "first line of the other\nsecond line, too")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    made = lines.hashed(df)
+    monkeypatch.setattr(lines, "hashed", lambda *a: made.withColumn("lines", F.transform("lines", lambda x, k: k.cast("long"))))
+    assert [x.text for x in lines.clean(df).orderBy("doc_id").collect()] == [t for _, t in rows]
+
+
 def test_every_line_stays_somewhere(spark):
     r = random.Random(4)
     pool = [f"line {k} of a pool of lines that is long enough to count" for k in range(60)]
@@ -246,7 +301,7 @@ def test_found_items_against_brute_force(spark):
     def prose(n):
         return [r.choice(vocabulary) for _ in range(n)]
 
-    items = [(k, " ".join(prose(r.randrange(8, 40)))) for k in range(30)] + [(90, None), (91, "too few words"), (92, items_text := " ".join(prose(20)))]
+    items = [(k, " ".join(prose(r.randrange(8, 40)))) for k in range(30)] + [(90, None), (91, "too few words"), (93, "?"), (92, items_text := " ".join(prose(20)))]
     docs, want = [], set()
     for d in range(120):
         words = prose(r.randrange(0, 400))
@@ -310,9 +365,50 @@ def test_batch_test_drops_no_window(monkeypatch):
     monkeypatch.setattr(decontaminate, "QUESTION", 0.0)
     monkeypatch.setattr(decontaminate, "ANSWER", 0.0)
     got = list(decontaminate.matches(index, column))
-    index.need = np.full(len(index.ids), -1.0)
-    index.essential[:] = True
-    assert [x[:2] for x in got] == [x[:2] for x in decontaminate.matches(index, column)]
+    assert got
+    everything = decontaminate.build(items, aside=0.0)
+    everything.need[:] = -1.0
+    assert got == list(decontaminate.matches(everything, column))
+    monkeypatch.setattr(decontaminate, "POSTINGS", 3)
+    monkeypatch.setattr(decontaminate, "CELLS", 100)
+    assert got == list(decontaminate.matches(index, column))
+
+
+def test_parts_score_as_one_index(spark, monkeypatch):
+    r = random.Random(14)
+    vocabulary = [f"w{k}" for k in range(300)]
+    items = [(f"item {k}" if k else None, " ".join(r.choices(vocabulary, k=r.randrange(6, 30)))) for k in range(60)] + [("twice", "a b c d e f g"), ("twice", "a b c d e f g")]
+    docs = [(d, " ".join([*r.choices(vocabulary, k=r.randrange(200)), r.choice(items)[1], *r.choices(vocabulary, k=r.randrange(200))])) for d in range(150)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    one = sorted(map(tuple, decontaminate.find(frame, bench).collect()), key=str)
+    kept = {x.doc_id for x in decontaminate.drop_found(frame, bench).collect()}
+    monkeypatch.setattr(decontaminate, "MAX_PART_BYTES", 1500)
+    assert sum(1 for _ in decontaminate.indexes(bench)) > 2
+    assert sorted(map(tuple, decontaminate.find(frame, bench).collect()), key=str) == one and any(x[1] is None for x in one) and any(x[1] == "twice" for x in one)
+    assert {x.doc_id for x in decontaminate.drop_found(frame, bench).collect()} == kept
+
+
+def test_short_items_are_lines(spark):
+    items = [(1, "Too short, really"), (2, "word"), (None, "no id here"), (4, " ?! "), (5, "")]
+    docs = [(1, "too short really"), (2, "it was too short really"), (3, "first line\n * Word!\nlast line"), (4, "a word in a line"), (5, "No ID here."), (6, "no id\nhere"), (7, ""), (8, None)]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x.score for x in decontaminate.find(frame, bench).collect()}
+    assert got == {(1, 1): 1.0, (3, 2): 1.0, (5, None): 1.0}
+    assert {x.doc_id for x in decontaminate.drop_found(frame, bench).collect()} == {2, 4, 6, 7, 8}
+
+
+def test_many_items_in_bounded_memory():
+    import resource
+
+    r = np.random.default_rng(15)
+    items = [(k, " ".join(f"w{x}" for x in r.integers(0, 3000, 40))) for k in range(16_000)]
+    index = decontaminate.build(items)
+    text = " ".join([*(f"w{x}" for x in r.integers(0, 3000, 60_000)), items[77][1]])
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    found = list(decontaminate.matches(index, pa.array([text])))
+    assert (0, 77) in [x[:2] for x in found]
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000  # kilobytes
 
 
 # Language
