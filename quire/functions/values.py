@@ -13,6 +13,12 @@ def region_font(region: str) -> str:
     return f"SourceHanSerif{region}-Regular.ttf"
 
 
+def font_file(lang: str) -> str:
+    """File of the font that a target language is set in."""
+    region = next((r for r, langs in REGION_LANGUAGES.items() if lang.lower() in langs), None)
+    return region_font(region) if region else PAN_SCRIPT_FONT
+
+
 # Line height by target language, as a multiple of the font size.
 LINE_HEIGHTS = {"zh-cn": 1.4, "zh-tw": 1.4, "zh-hans": 1.4, "zh-hant": 1.4, "zh": 1.4, "ja": 1.1, "ko": 1.2, "en": 1.2, "ar": 1.0, "ru": 0.8, "uk": 0.8, "ta": 0.8}
 OTHER_LINE_HEIGHT = 1.1

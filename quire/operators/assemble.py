@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators.layout import Reader, flat
+
 
 def last_patches(patches: DataFrame) -> DataFrame:
     """One patch for each object: the last written, as a form that pages share is written often."""
@@ -37,6 +43,22 @@ def charset(glyphs: DataFrame, key: tuple[str, ...] = ("doc_id", "font")) -> Dat
     return glyphs.select(*key, "ch").distinct().groupBy(*key).agg(F.count("*").alias("chars"), F.array_join(F.array_sort(F.collect_list("ch")), "").alias("charset"))
 
 
+def charset_of_pages(source: DataFrame, read: Reader | None = None) -> DataFrame:
+    """The same for pages that hold their glyphs as arrays: a batch gives its different pairs.
+
+    ``read`` makes pages of documents.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in read(batches) if read else batches:
+            offsets, ch = flat(batch.column("ch"))
+            doc = batch.column("doc_id").take(pa.array(np.repeat(np.arange(batch.num_rows), np.diff(offsets))))
+            seen = pa.table({"doc_id": doc, "font": flat(batch.column("font"))[1], "ch": ch}).group_by(["doc_id", "font", "ch"]).aggregate([])
+            yield from seen.filter(seen["ch"].is_valid()).combine_chunks().to_batches()
+
+    return charset(source.mapInArrow(run, "doc_id long, font string, ch string"))
+
+
 def fonts_of_pages(pages: DataFrame, fonts: tuple[str, str]) -> DataFrame:
     """Every page once for each of the two fonts that it embeds."""
     return pages.withColumn("font", F.explode(F.array(*[F.lit(f) for f in fonts])))

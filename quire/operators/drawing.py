@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import geometry, values
+from quire.staging import written
 
 #: Operands of each operator that the interpreter knows; others are dropped.
 OPERANDS: dict[str, int] = {
@@ -141,24 +142,24 @@ def thin(lines: DataFrame, width: str = "linewidth") -> DataFrame:
     return lines.where(F.col(width) < values.THICK_LINE)
 
 
-def form_tree(forms: DataFrame, roots: DataFrame, most: int = 32) -> DataFrame:
+def form_tree(forms: DataFrame, roots: DataFrame) -> DataFrame:
     """Every form reachable from a page: (doc_id, page, form, depth, matrix), cycles cut.
 
     ``forms``: doc_id, parent, form, matrix; ``roots``: doc_id, page, form, matrix. Matrices
-    multiply down the tree. A join for each level, until none adds a row.
+    multiply down the tree. A join for each level, until none adds a row, however deep; each
+    level is written, so that plans do not grow and no level is computed twice.
     """
-    level = roots.select("doc_id", "page", "form", F.lit(0).alias("depth"), "matrix", F.array("form").alias("path"))
-    out = level
-    for depth in range(1, most):
-        child = forms.select(F.col("doc_id").alias("d"), "parent", F.col("form").alias("child"), F.col("matrix").alias("m"))
-        level = (
+    level, _ = written(roots.select("doc_id", "page", "form", F.lit(0).alias("depth"), "matrix", F.array("form").alias("path")), "forms")
+    child = forms.select(F.col("doc_id").alias("d"), "parent", F.col("form").alias("child"), F.col("matrix").alias("m"))
+    out, depth = level, 0
+    while level.limit(1).count():
+        depth += 1
+        level, _ = written(
             level.join(child, (F.col("doc_id") == F.col("d")) & (F.col("form") == F.col("parent")))
             .where(~F.array_contains("path", F.col("child")))
-            .select("doc_id", "page", F.col("child").alias("form"), F.lit(depth).alias("depth"), geometry.product(F.col("m"), F.col("matrix")).alias("matrix"), F.concat("path", F.array("child")).alias("path"))
+            .select("doc_id", "page", F.col("child").alias("form"), F.lit(depth).alias("depth"), geometry.product(F.col("m"), F.col("matrix")).alias("matrix"), F.concat("path", F.array("child")).alias("path")),
+            "forms",
         )
-        level = level.checkpoint() if depth % 8 == 0 else level
-        if not level.limit(1).count():
-            break
         out = out.unionByName(level)
     return out.drop("path")
 

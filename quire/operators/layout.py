@@ -1,17 +1,19 @@
 """Layout: detections to ranked boxes, and the class of the spot where a glyph stands.
 
-No raster is made. A page's boxes travel as one short array, at most a detector's worth,
-and meet the page's glyphs by an equi-join on the page; the class is then an expression
-over the array, so no glyph is multiplied and nothing is grouped again.
+No raster is made. A page's boxes travel as one short array, at most a detector's worth.
+Pages are rows that hold their glyphs as arrays; page and boxes meet by an equi-join of
+pages, and classes are found by array. For single points there is an expression too.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -161,9 +163,13 @@ def excluded(name: Column) -> Column:
     return name.isin(*values.EXCLUDED_CLASSES)
 
 
-def painted_boxes(boxes: DataFrame, class_names: DataFrame, width: Column, height: Column) -> DataFrame:
-    """One row a page: its ranked boxes as pixel rectangles, and the page's size."""
-    named = ranked(confident(boxes)).join(F.broadcast(class_names), "cls")  # a row for each class of the model
+def painted_boxes(boxes: DataFrame, class_names: DataFrame | None, width: Column, height: Column) -> DataFrame:
+    """One row a page: its ranked boxes as pixel rectangles.
+
+    Without ``class_names`` the boxes themselves carry the ``name`` of their class.
+    """
+    kept = ranked(confident(boxes))
+    named = kept if class_names is None else kept.drop("name").join(F.broadcast(class_names), "cls")  # a row for each class of the model
     where = geometry.painted(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), width, height)
     box = F.struct("i", excluded(F.col("name")).alias("excluded"), where.alias("at"))
     return named.groupBy(*PAGE).agg(F.array_sort(F.collect_list(box)).alias("boxes"))
@@ -191,3 +197,84 @@ def classified(points: DataFrame, boxes: DataFrame, class_names: DataFrame, widt
     if ch:
         cls = F.when(F.col(ch) == values.BULLET, EXCLUDED).otherwise(cls)
     return joined.withColumn("cls", cls).drop("boxes")
+
+
+# Pages that hold their items as arrays.
+
+def flat(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Offsets and values of a list column; a null list is empty."""
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), column.flatten()
+
+
+def numbers(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
+
+
+def _page_boxes(boxes: DataFrame, class_names: DataFrame | None, width: Column, height: Column) -> DataFrame:
+    sized = "page_w" in boxes.columns
+    return painted_boxes(boxes, class_names, F.col("page_w").cast("int") if sized else width, F.col("page_h").cast("int") if sized else height)
+
+
+def with_boxes(pages: DataFrame, boxes: DataFrame, class_names: DataFrame | None, width: int | Column, height: int | Column) -> DataFrame:
+    """Pages with their ranked boxes and the page's size in whole points."""
+    w, h = (F.lit(v) if isinstance(v, int) else v for v in (width, height))
+    return pages.join(_page_boxes(boxes, class_names, w, h).hint("shuffle_hash"), list(PAGE), "left").withColumn("box_w", w.cast("int")).withColumn("box_h", h.cast("int"))
+
+
+def with_document_boxes(documents: DataFrame, boxes: DataFrame, class_names: DataFrame | None, width: int = 1, height: int = 1) -> DataFrame:
+    """Documents with the boxes of all their pages, for a reader that makes pages of them.
+
+    What is shuffled is a document as it is stored, not its glyphs. Boxes carry page_w and
+    page_h, or all pages have the given size. Few bytes may be much work, so documents are
+    dealt to as many tasks as the session has shuffle partitions, not fewer.
+    """
+    tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    painted = _page_boxes(boxes, class_names, F.lit(width), F.lit(height))
+    own = painted.groupBy("doc_id").agg(F.collect_list(F.struct("pageno", "boxes")).alias("boxes"))  # a document's own pages
+    return documents.repartition(tasks, "doc_id").join(own.hint("shuffle_hash"), "doc_id", "left")
+
+
+def boxes_by_page(found: list | None) -> dict[int, list]:
+    """What ``with_document_boxes`` gives a document, by page."""
+    return {x["pageno"]: x["boxes"] for x in found or []}
+
+
+def classes_of(batch: pa.RecordBatch) -> np.ndarray:
+    """Class of every item of a batch of pages, the rule of ``class_at``; a bullet is excluded.
+
+    Beside the arrays ch, x0, y0 the batch may hold ``cls`` itself, or boxes, box_w, box_h.
+    """
+    names = batch.schema.names
+    if "cls" in names:
+        return numbers(flat(batch.column("cls"))[1])
+    offsets, ch = flat(batch.column("ch"))
+    out = np.full(len(ch), NO_BOX, np.int32)
+    if "boxes" in names:
+        x, y = (np.trunc(numbers(flat(batch.column(c))[1])) for c in ("x0", "y0"))
+        boxes, width, height = (batch.column(c) for c in ("boxes", "box_w", "box_h"))
+        for r in np.flatnonzero(boxes.is_valid().to_numpy(zero_copy_only=False) & (np.diff(offsets) > 0)).tolist():
+            mine = slice(offsets[r], offsets[r + 1])
+            px, py = np.clip(x[mine], 0, width[r].as_py() - 1), np.clip(y[mine], 0, height[r].as_py() - 1)
+            found = boxes[r].as_py()
+            for b in [*(b for b in found if not b["excluded"]), *(b for b in found if b["excluded"])]:
+                at = b["at"]
+                out[mine][(px >= at["left"]) & (px < at["right"]) & (py >= at["bottom"]) & (py < at["top"])] = EXCLUDED if b["excluded"] else b["i"] + FIRST_BOX
+    out[numbers(pc.fill_null(pc.equal(ch, values.BULLET), False))] = EXCLUDED
+    return out
+
+
+#: Makes batches of pages of batches of documents.
+Reader = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+BOXES = pa.list_(pa.struct([("i", pa.int32()), ("excluded", pa.bool_()), ("at", pa.struct([("left", pa.int32()), ("bottom", pa.int32()), ("right", pa.int32()), ("top", pa.int32())]))]))
+
+
+def spots(source: DataFrame, read: Reader | None = None) -> DataFrame:
+    """doc_id, pageno, and the arrays cls and seq, of pages; ``read`` makes them of documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in read(batches) if read else batches:
+            cls = pa.ListArray.from_arrays(pa.array(flat(batch.column("ch"))[0], pa.int32()), pa.array(classes_of(batch), pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("pageno"), cls, batch.column("seq")], names=["doc_id", "pageno", "cls", "seq"])
+
+    return source.mapInArrow(run, "doc_id long, pageno int, cls array<int>, seq array<long>")

@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -154,13 +155,18 @@ def set_container(paragraphs: list[Mapping], texts: list[str], formulas: list[di
     return f"BT {''.join(ops)}ET "
 
 
-def typeset(containers: DataFrame, metrics: Metrics, lang_out: str) -> DataFrame:
-    """containers (paragraphs, texts, formulas, lines beside the key) to their new stream, ops."""
+def typeset(containers: DataFrame, metrics: Metrics, lang_out: str, done: Accumulator | None = None) -> DataFrame:
+    """containers (paragraphs, texts, formulas, lines beside the key) to their new stream, ops.
+
+    ``done`` counts pages as they are set; what runs twice counts twice.
+    """
     held = containers.sparkSession.sparkContext.broadcast(metrics)  # two fonts' tables
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ops = [set_container(r["paragraphs"], r["texts"], r["formulas"], r["lines"], held.value, lang_out) for r in batch.to_pylist()]
+            if done is not None:
+                done.add(sum(c == "page" for c in batch.column(2).to_pylist()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ops, pa.string())], names=["doc_id", "pageno", "container", "ops"])
 
     # Few bytes, much work: as many tasks as the session has shuffle partitions, not fewer.
@@ -182,13 +188,19 @@ def font_choice(code_point: Column, covered: Column) -> Column:
 
 
 def wrapped(text: Column, advance: Column, x: Column, x0: Column, x1: Column, size: Column, brk: Column) -> Column:
-    """Line number of each code point when all advance alike: greedy, blanks dropped at line starts."""
-    state = F.struct(x.cast("double").alias("x"), F.lit(0).alias("line"), F.array().cast("array<int>").alias("lines"))
+    """Line number of each code point when all advance alike: greedy, blanks dropped at line starts.
+
+    The fold notes where lines begin, so its array grows by a line and not by a code point.
+    """
+    none = F.array().cast("array<int>")
+    state = F.struct(x.cast("double").alias("x"), F.lit(0).alias("k"), none.alias("turns"))
 
     def step(a: Column, ch: Column) -> Column:
         turn = brk & (a["x"] + advance > x1 + 0.1 * size)
-        at, line = F.when(turn, x0.cast("double")).otherwise(a["x"]), F.when(turn, a["line"] + 1).otherwise(a["line"])
+        at = F.when(turn, x0.cast("double")).otherwise(a["x"])
         moved = F.when((at == x0) & (ch == " "), at).otherwise(at + advance)
-        return F.struct(moved.alias("x"), line.alias("line"), F.concat(a["lines"], F.array(line)).alias("lines"))
+        return F.struct(moved.alias("x"), (a["k"] + 1).alias("k"), F.when(turn, F.concat(a["turns"], F.array(a["k"]))).otherwise(a["turns"]).alias("turns"))
 
-    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), state, step, lambda a: a["lines"])
+    letters = F.filter(F.split(text, ""), lambda c: c != "")
+    cuts = F.aggregate(letters, state, step, lambda a: F.concat(F.array(F.lit(0)), a["turns"], F.array(a["k"])))
+    return F.flatten(F.transform(F.slice(cuts, 2, F.size(cuts) - 1), lambda end, line: F.array_repeat(line, end - cuts[line])))

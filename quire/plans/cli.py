@@ -10,13 +10,14 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators import engines, memory
+from quire.functions import values
+from quire.operators import engines, layout, memory
 from quire.operators.segment import Rules
 from quire.plans import pipeline
-from quire.plans.derived import class_names
 from quire.plans.options import Options
 from quire.sources import files, pdf
 from quire.sources.settings import Config, read_prompt
+from quire.staging import written
 
 
 def parser() -> argparse.ArgumentParser:
@@ -35,6 +36,12 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--cache", help="folder of the translation memory")
     p.add_argument("--ignore-cache", action="store_true")
     p.add_argument("--font", help="TrueType file for characters that the base font lacks")
+    p.add_argument("--fonts", help="folder of font files, from which the target language picks one")
+    p.add_argument("--skip-subset-fonts", action="store_true", help="embed whole font files")
+    p.add_argument("--boxes", help="Parquet of detections: path, pageno, det_idx, x0, y0, x1, y1, conf, name, page_w, page_h")
+    p.add_argument("--onnx", help="ONNX file of a layout detector; needs --images")
+    p.add_argument("--images", help="Parquet of page images for --onnx: path, pageno, image (RGB bytes), h, w, at a pixel a point")
+    p.add_argument("--serverport", type=int, help="serve jobs over HTTP at this port instead")
     p.add_argument("--dir", action="store_true", help="the arguments are folders")
     p.add_argument("--debug", "-d", action="store_true")
     return p
@@ -64,11 +71,42 @@ def _pdfs(spark: SparkSession, paths: Sequence[str], folders: bool) -> DataFrame
     return found.select(F.xxhash64("path").alias("doc_id"), "path", "content")
 
 
+def wide_font(lang_out: str, folder: str | None, subset: bool = True) -> pdf.WideFont | None:
+    """The font file of a target language, if the folder has it."""
+    if not folder:
+        return None
+    path = Path(folder) / values.font_file(lang_out)
+    return pdf.WideFont(path.read_bytes(), path.stem, subset) if path.exists() else None
+
+
+def detections(spark: SparkSession, boxes: str | None, onnx: str | None, images: str | None, conf: str = "path") -> DataFrame | None:
+    """Detections of files by the hash of their path, from a table or by a detector."""
+    key = F.xxhash64(conf).alias("doc_id")
+    if boxes:
+        return spark.read.parquet(boxes).select(key, "*").drop("path")
+    if not onnx:
+        return None
+    if not images:
+        raise ValueError("a detector needs images of the pages")
+    model = layout.OnnxModel(onnx)
+    pictures = spark.read.parquet(images).select(key, F.col("pageno").cast("int").alias("pageno"), "image", "h", "w")
+    names = spark.createDataFrame(list(model.names.items()), "cls int, name string")
+    sizes = pictures.select("doc_id", "pageno", F.col("w").cast("double").alias("page_w"), F.col("h").cast("double").alias("page_h"))
+    found = layout.detect(pictures, model)
+    return found.join(F.broadcast(names), "cls").join(sizes, ["doc_id", "pageno"])  # a row for each class of the model
+
+
 def main(arguments: Sequence[str] | None = None, engine: Callable[..., memory.Engine] = engines.engine) -> int:
     from quire.session import local_session
 
     args = parser().parse_args(arguments)
     config = Config(args.config) if args.config else None
+    if args.serverport:
+        from quire.plans.service import server
+
+        spark = local_session("*")
+        server(spark, ("127.0.0.1", args.serverport), engine, memory.Memory(spark, args.cache) if args.cache else None, fonts=args.fonts).serve_forever()
+        return 0
     template = read_prompt(args.prompt) if args.prompt else None
     if gone := files.check(args.files):
         raise FileNotFoundError(", ".join(gone))
@@ -79,10 +117,11 @@ def main(arguments: Sequence[str] | None = None, engine: Callable[..., memory.En
     if args.dir or all(p.lower().endswith(".pdf") or p.startswith(("http://", "https://")) for p in args.files):
         wanted = page_numbers(args.pages)
         options = Options(args.lang_in, args.lang_out, args.service, tuple(wanted) if wanted else None, args.thread, args.ignore_cache, template, Rules(args.vfont or None, args.vchar or None))
-        wide = pdf.WideFont(Path(args.font).read_bytes()) if args.font else None
+        wide = pdf.WideFont(Path(args.font).read_bytes(), subset=not args.skip_subset_fonts) if args.font else wide_font(args.lang_out, args.fonts, not args.skip_subset_fonts)
         found = _pdfs(spark, args.files, args.dir)
-        done = pipeline.translate_files(found, None, class_names(spark), chosen, options, store, wide).join(found.select("doc_id", "path"), "doc_id")
-        done = done.persist()  # a file is written from the same translation that its state reports
+        boxes = detections(spark, args.boxes, args.onnx, args.images)
+        done = pipeline.translate_files(found, boxes, None, chosen, options, store, wide).join(found.select("doc_id", "path"), "doc_id")
+        done, _ = written(done, "translated")  # a file is written from the same translation that its state reports
         for row in files.write(done.where("error is null"), args.output or None).toLocalIterator():
             print(row.path)
         failed = [(r.path, r.error) for r in done.where("error is not null").select("path", "error").toLocalIterator()]

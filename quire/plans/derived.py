@@ -6,9 +6,15 @@ keys, by integer arithmetic, so that any engine rebuilds the same tables.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.operators import layout
+
 COLUMNS, ROWS, ADVANCE, LEADING = 80, 50, 6, 12
 PAGE_WIDTH, PAGE_HEIGHT = COLUMNS * ADVANCE, 792
 #: Classes of the derived detections.
@@ -47,6 +53,72 @@ def glyphs(documents: DataFrame) -> DataFrame:
     )
 
 
+#: Pages of a batch that ``read_pages`` makes.
+PAGES_A_BATCH = 64
+
+
+def _glyphs(pages_: list[list[str]], firsts: list[int]) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    """Where each page's glyphs end, and the glyphs of all pages, one after the other."""
+    lengths = np.array([len(x) for p in pages_ for x in p], np.int64)
+    of = np.repeat(np.arange(len(pages_)), [len(p) for p in pages_])
+    number = np.concatenate([first + np.arange(len(p)) for p, first in zip(pages_, firsts, strict=True)])
+    line = np.repeat(number, lengths)
+    col = np.arange(len(line)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    at = (ADVANCE * (col % COLUMNS)).astype(np.float64)
+    base = (PAGE_HEIGHT - LEADING * (line % ROWS) - LEADING).astype(np.float64)
+    one, none = np.ones(len(line)), np.zeros(len(line))
+    raw = np.frombuffer("".join(x for p in pages_ for x in p).encode(), np.uint8)
+    heads = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw)).astype(np.int32)
+    fonts = pa.array(["Times", "ABCDEF+CMMI10"])
+    flat = {
+        "seq": line * 1_000_000 + col, "cls": (((line * 1_000_000 + col) // 97) % 3).astype(np.int32), "ch": pa.StringArray.from_buffers(len(line), pa.py_buffer(heads), pa.py_buffer(raw)), "cid": none.astype(np.int32),
+        "font": fonts.take(pa.array(((line + col // 10) % 7 == 6).astype(np.int32))), "size": np.where(col % 37 == 36, 7.0, 10.0),
+        "x0": at, "x1": at + ADVANCE - 1, "y0": base, "y1": base + 10, "a": one, "d": one, "linewidth": none,
+    }
+    ends = np.concatenate([[0], np.cumsum(np.bincount(of, lengths, minlength=len(pages_)).astype(np.int64))])
+    return ends, {c: v if isinstance(v, pa.Array) else pa.array(v) for c, v in flat.items()}
+
+
+def read_pages(batches: Iterator[pa.RecordBatch], classes: bool = False) -> Iterator[pa.RecordBatch]:
+    """The same glyphs as one row a page that holds them as arrays, made of documents.
+
+    Documents may have what ``layout.with_document_boxes`` adds. With ``classes`` the rows
+    have classes by number. Pages without glyphs are left out.
+    """
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        n = len(rows)
+        ends, flat = _glyphs([r[3] for r in rows], [r[1] * ROWS for r in rows])
+        key = {"doc_id": pa.array([r[0] for r in rows], pa.int64()), "pageno": pa.array([r[1] for r in rows], pa.int32()), "container": pa.array(["page"] * n)}
+        spots = {"boxes": pa.array([r[2] for r in rows], layout.BOXES), "box_w": pa.array([PAGE_WIDTH] * n, pa.int32()), "box_h": pa.array([PAGE_HEIGHT] * n, pa.int32())}
+        return pa.RecordBatch.from_pydict(key | spots | {c: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), v) for c, v in flat.items() if classes or c != "cls"})
+
+    rows: list[tuple] = []
+    for batch in batches:
+        found = batch.column("boxes") if "boxes" in batch.schema.names else [None] * batch.num_rows
+        for doc, text, boxes in zip(batch.column("doc_id").to_pylist(), batch.column("text"), found, strict=True):
+            lines = text.as_py().split("\n") if text.is_valid else []
+            by_page = layout.boxes_by_page(boxes.as_py() if boxes is not None else None)
+            for first in range(0, len(lines), ROWS):
+                if any(lines[first : first + ROWS]):
+                    rows.append((doc, first // ROWS, by_page.get(first // ROWS), lines[first : first + ROWS]))
+                    if len(rows) == PAGES_A_BATCH:
+                        yield made(rows)
+                        rows = []
+    if rows:
+        yield made(rows)
+
+
+def read_classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return read_pages(batches, True)
+
+
+def spread(documents: DataFrame) -> DataFrame:
+    """Documents in as many tasks as the session has shuffle partitions: a text makes many glyphs."""
+    tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return documents.select("doc_id", "text").repartition(tasks, "doc_id")
+
+
 GLYPHS = f"""l AS (SELECT doc_id, CAST(unnest(range(len(x))) AS INTEGER) AS line, unnest(x) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
 c AS (SELECT doc_id, line, CAST(unnest(range(length(text))) AS INTEGER) AS col, unnest(list_transform(range(length(text)), lambda k: substr(text, CAST(k + 1 AS BIGINT), 1))) AS ch FROM l),
 glyphs AS (SELECT doc_id, CAST(line // {ROWS} AS INTEGER) AS pageno, CAST(line AS BIGINT) * 1000000 + col AS seq, ch,

@@ -1,18 +1,21 @@
 """The translation plan: glyphs to paragraphs to translations to a new stream a page.
 
-Pages are chosen before anything is computed for them. Segmentation shuffles by page,
-translation by distinct text; both are the only wide steps before assembly.
+Pages are chosen before anything is computed for them. A page's glyphs stay in its row, and
+segmentation shuffles nothing; its result is written to the shared folder, as three steps
+read it. Translation shuffles by distinct text, and its answers once more by page.
 """
 
 from __future__ import annotations
 
+from pyspark import Accumulator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
-from quire.operators import assemble, layout, memory, pages, segment, typeset
+from quire.operators import assemble, layout, memory, segment, typeset
 from quire.plans.options import Options
 from quire.sources import pdf
+from quire.staging import written
 
 
 def protect(lines: DataFrame, pattern: str = "[0-9]+", text: str = "text") -> DataFrame:
@@ -58,33 +61,41 @@ def summary(translated: DataFrame) -> DataFrame:
     )
 
 
-def translate_pages(glyphs: DataFrame, boxes: DataFrame, class_names: DataFrame, engine: memory.Engine, options: Options, metrics: typeset.Metrics, store: memory.Memory | None = None) -> DataFrame:
+def translate_pages(
+    source: DataFrame,
+    boxes: DataFrame | None,
+    class_names: DataFrame | None,
+    engine: memory.Engine,
+    options: Options,
+    metrics: typeset.Metrics,
+    store: memory.Memory | None = None,
+    done: Accumulator | None = None,
+    read: layout.Reader | None = None,
+    page_width: float | str | None = None,
+) -> DataFrame:
     """doc_id, pageno, container, ops: the new text of every wanted page and form.
 
-    ``glyphs`` has the columns that segment.segment reads, but for cls; an empty ``boxes``
-    makes every spot plain text.
+    ``source`` has container rows as segment.segment reads them, or documents of which
+    ``read`` makes such rows. Without ``boxes`` every spot is plain text; boxes that carry a
+    class's ``name`` need no ``class_names``. ``done`` counts pages as they are set.
     """
-    wanted = pages.select(glyphs, options.pages)
-    sized = "page_w" in glyphs.columns  # then boxes have the page's size too
-    size = (F.col("page_w").cast("int"), F.col("page_h").cast("int")) if sized else (int(options.page_width), int(options.page_height))
-    classed = layout.classified(wanted, boxes, class_names, *size)
-    # Read by the memory's lookup, by the join with its answers and by typesetting; a part
-    # that is lost with its executor is computed again.
-    parts = segment.segment(classed, "page_w" if sized else options.page_width, options.rules).persist()
+    size = int(options.page_width), int(options.page_height)
+    if boxes is not None:
+        source = (layout.with_document_boxes if read else layout.with_boxes)(source, boxes, class_names, *size)
+    # Read by the memory's lookup, by the join with its answers and by typesetting.
+    parts, _ = written(segment.segment(source, page_width or options.page_width, options.rules, read, options.pages), "segments")
     key = ["doc_id", "pageno", "container"]
     paragraphs = parts.select(*key, F.explode("paragraphs").alias("p")).select(*key, "p.para_idx", "p.text")
     texts = assemble.joined_paragraphs(memory.translate(paragraphs, engine, store, options.ignore_cache, options.threads).withColumn("translation", F.coalesce("translation", "text")))
-    return typeset.typeset(parts.join(texts, key), metrics, options.lang_out)
+    return typeset.typeset(parts.join(texts, key), metrics, options.lang_out, done)
 
 
-def translate_files(files: DataFrame, boxes: DataFrame | None, class_names: DataFrame, engine: memory.Engine, options: Options, store: memory.Memory | None = None, wide: pdf.WideFont | None = None) -> DataFrame:
+def translate_files(files: DataFrame, boxes: DataFrame | None, class_names: DataFrame | None, engine: memory.Engine, options: Options, store: memory.Memory | None = None, wide: pdf.WideFont | None = None, done: Accumulator | None = None) -> DataFrame:
     """doc_id, mono_content, dual_content, error of every PDF file (doc_id, content).
 
-    ``boxes``: detections with page_w and page_h; without any, all text is plain.
+    ``boxes``: detections, page_w and page_h beside them; without any, all text is plain.
     """
-    none = "doc_id long, pageno int, det_idx int, x0 double, y0 double, x1 double, y1 double, conf double, cls int, page_w double, page_h double"
-    found = boxes if boxes is not None else files.sparkSession.createDataFrame([], none)
-    ops = translate_pages(pdf.glyphs(files), found, class_names, engine, options, pdf.metrics(wide), store)
+    ops = translate_pages(files.select("doc_id", "content"), boxes, class_names, engine, options, pdf.metrics(wide), store, done, pdf.read_containers, "page_w")
     return pdf.assembled(files, ops, wide)
 
 

@@ -402,32 +402,33 @@ classed AS (SELECT g.doc_id, g.pageno, g.seq, any_value(g.x0) AS x0, any_value(g
   GROUP BY g.doc_id, g.pageno, g.seq)"""
 
 
-def _classed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return layout.classified(derived.glyphs(docs), derived.boxes(docs), class_names(spark), derived.PAGE_WIDTH, derived.PAGE_HEIGHT)
+def _boxed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return layout.with_document_boxes(docs, derived.boxes(docs), class_names(spark), derived.PAGE_WIDTH, derived.PAGE_HEIGHT)
 
 
 @query(f"WITH {CLASSED} SELECT doc_id, pageno, cls, CAST(count(*) AS BIGINT) AS n, CAST(sum(seq) AS BIGINT) AS seqs FROM classed GROUP BY ALL")
 def layout_class_join(spark, sf_dir):
-    return _classed(spark, sf_dir).groupBy("doc_id", "pageno", F.col("cls").cast("int").alias("cls")).agg(F.count("*").alias("n"), F.sum("seq").alias("seqs"))
+    classed = layout.spots(_boxed(spark, sf_dir), derived.read_pages)
+    spots = classed.select("doc_id", "pageno", F.explode(F.arrays_zip("cls", "seq")).alias("g"))
+    return spots.groupBy("doc_id", "pageno", F.col("g.cls").alias("cls")).agg(F.count("*").alias("n"), F.sum("g.seq").alias("seqs"))
 
 
 ISLANDS = f"{GLYPHS}, k AS (SELECT *, (seq // 97) % 3 AS cls FROM glyphs), s AS (SELECT *, CASE WHEN lag(cls) OVER w IS DISTINCT FROM cls THEN 1 ELSE 0 END AS start FROM k WINDOW w AS (PARTITION BY doc_id, pageno ORDER BY seq)), i AS (SELECT *, CAST(sum(start) OVER (PARTITION BY doc_id, pageno ORDER BY seq) - 1 AS INTEGER) AS para_idx FROM s)"
 
 
-def _islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = derived.glyphs(table(spark, sf_dir, "documents")).withColumn("cls", F.floor(F.col("seq") / 97) % 3)
-    return segment.islands(g)
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.runs(derived.spread(table(spark, sf_dir, "documents")), derived.read_classed)
 
 
 @query(f"WITH {ISLANDS} SELECT doc_id, pageno, para_idx, CAST(count(*) AS BIGINT) AS n, min(seq) AS first_seq FROM i GROUP BY ALL")
 def paragraph_islands(spark, sf_dir):
-    return _islands(spark, sf_dir).groupBy("doc_id", "pageno", "para_idx").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
+    return _runs(spark, sf_dir).select("doc_id", "pageno", "para_idx", F.col("glyphs").alias("n"), "first_seq")
 
 
 @query(f"WITH {ISLANDS} SELECT doc_id, pageno, para_idx, min(x0) AS x0, max(x1) AS x1, min(y0) AS y0, max(y1) AS y1, CAST(count(*) AS BIGINT) AS glyphs FROM i GROUP BY ALL")
 def paragraph_bounds(spark, sf_dir):
-    return segment.bounds(_islands(spark, sf_dir))
+    return _runs(spark, sf_dir).select("doc_id", "pageno", "para_idx", "x0", "x1", "y0", "y1", "glyphs")
 
 
 @query(
@@ -435,7 +436,7 @@ def paragraph_bounds(spark, sf_dir):
 SELECT doc_id, pageno, CAST(count(*) FILTER (gap OR back) AS BIGINT) AS spaces, CAST(count(*) FILTER (back AND NOT gap) AS BIGINT) AS wraps FROM g GROUP BY ALL"""
 )
 def space_insertion(spark, sf_dir):
-    return segment.spaced(_islands(spark, sf_dir)).groupBy("doc_id", "pageno").agg(F.count(F.when(F.col("space_before"), 1)).alias("spaces"), F.count(F.when(F.col("wraps"), 1)).alias("wraps"))
+    return _runs(spark, sf_dir).groupBy("doc_id", "pageno").agg(F.sum("spaces").alias("spaces"), F.sum("wraps").alias("wraps"))
 
 
 @query(f"WITH {GLYPHS}, v AS (SELECT *, seq // 12 AS vid FROM glyphs WHERE font <> 'Times') SELECT doc_id, pageno, vid, max(x1) - arg_min(x0, seq) AS width, CAST(count(*) AS BIGINT) AS glyphs FROM v GROUP BY ALL")
@@ -445,7 +446,7 @@ def formula_width(spark, sf_dir):
 
 
 def _segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segment.segment(_classed(spark, sf_dir), float(derived.PAGE_WIDTH))
+    return segment.segment(_boxed(spark, sf_dir), float(derived.PAGE_WIDTH), read=derived.read_pages)
 
 
 @query()
@@ -459,7 +460,7 @@ def typeset_fold(spark, sf_dir):
     metrics = typeset.Metrics({c: 0.5 for c in range(32, 127)}, {}, 0.6)
     from quire.plans.options import Options
 
-    out = pipeline.translate_pages(derived.glyphs(docs), derived.boxes(docs), class_names(spark), _engine(), Options(lang_out="zh", service="pseudo"), metrics)
+    out = pipeline.translate_pages(docs.select("doc_id", "text"), derived.boxes(docs), class_names(spark), _engine(), Options(lang_out="zh", service="pseudo"), metrics, read=derived.read_pages)
     return out.select("doc_id", "pageno", F.length("ops").cast("long").alias("length"), F.md5("ops").alias("digest"))
 
 
@@ -610,7 +611,7 @@ def page_fonts(spark, sf_dir):
 
 @query(f"WITH {GLYPHS} SELECT doc_id, font, CAST(count(DISTINCT ch) AS BIGINT) AS chars, array_to_string(list_sort(list(DISTINCT ch)), '') AS charset FROM glyphs GROUP BY doc_id, font")
 def charset_per_font(spark, sf_dir):
-    return assemble.charset(derived.glyphs(table(spark, sf_dir, "documents")))
+    return assemble.charset_of_pages(derived.spread(table(spark, sf_dir, "documents")), derived.read_pages)
 
 
 # Files

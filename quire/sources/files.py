@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import urllib.request
+import uuid
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import pandas as pd
+import pyarrow.fs as fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,11 +103,19 @@ def pick(results: DataFrame, kind: Column) -> DataFrame:
     return results.withColumn("content", F.when(kind == "mono", F.col("mono")).otherwise(F.col("dual")))
 
 
-def write(results: DataFrame, folder: str) -> DataFrame:
+def _place(name: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a name: by its scheme, local without one."""
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]+:/", name):
+        return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", name))
+    return fs.LocalFileSystem(), str(Path(name).absolute())
+
+
+def write(results: DataFrame, folder: str | None) -> DataFrame:
     """Writes mono_content and dual_content of each row under its names; a row a file written.
 
-    Each file is written beside its name and moved into place, so that a task that runs
-    twice leaves whole files. Executors must share the folder.
+    Names with a scheme go to that file system. Each file is written beside its name and
+    moved into place, so that a task that runs twice leaves whole files. Executors must
+    share the folder.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -114,12 +123,13 @@ def write(results: DataFrame, folder: str) -> DataFrame:
             out = []
             for r in batch.itertuples():
                 for name, content in ((r.mono, r.mono_content), (r.dual, r.dual_content)):
-                    target = Path(re.sub(r"^file:/+", "/", name))
-                    target.parent.mkdir(parents=True, exist_ok=True)
-                    with tempfile.NamedTemporaryFile(dir=target.parent, delete=False) as part:
-                        part.write(content)
-                    Path(part.name).replace(target)
-                    out.append((str(target), len(content)))
+                    where, target = _place(name)
+                    where.create_dir(target.rpartition("/")[0], recursive=True)
+                    part = f"{target}.{uuid.uuid4().hex}.part"
+                    with where.open_output_stream(part) as stream:
+                        stream.write(content)
+                    where.move(part, target)
+                    out.append((target if isinstance(where, fs.LocalFileSystem) else name, len(content)))
             yield pd.DataFrame(out, columns=["path", "length"])
 
     return with_output_names(results, folder).select("mono", "mono_content", "dual", "dual_content").mapInPandas(run, "path string, length long")

@@ -15,11 +15,12 @@ from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import values
-from quire.operators import drawing
+from quire.operators import drawing, layout, segment
 from quire.operators.typeset import BASE_FONT, WIDE_FONT, Metrics
 
 
@@ -537,7 +538,8 @@ class Interpreter:
         self.run(inner, doc.decoded(form), doc.get(form.info.get("Resources")) or resources, _product(matrix, ctm), above | {ref.number})
 
 
-ITEMS = "doc_id long, pageno int, page_w double, page_h double, container string, seq long, ch string, cid int, font string, size double, x0 double, x1 double, y0 double, y1 double, a double, d double, linewidth double"
+#: What a file can raise that is broken, cut off or nested without end.
+BROKEN = (PdfError, ValueError, KeyError, IndexError, TypeError, AttributeError, ArithmeticError, RecursionError, struct.error, zlib.error)
 
 
 def page_items(content: bytes) -> Iterator[dict]:
@@ -552,20 +554,40 @@ def page_items(content: bytes) -> Iterator[dict]:
                 yield {"pageno": pageno, "page_w": w, "page_h": h, "container": container, "seq": seq, **item}
 
 
-def glyphs(files: DataFrame) -> DataFrame:
-    """Glyphs and strokes of every document (doc_id, content); a broken file gives no rows."""
+def page_count(content: bytes) -> int:
+    """Pages of a file; none if it is broken."""
+    try:
+        return len(Document(content).pages)
+    except BROKEN:
+        return 0
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in ITEMS.split(", ")]
-        for batch in batches:
-            for row in batch.itertuples():
-                try:
-                    items = list(page_items(bytes(row.content)))
-                except (PdfError, ValueError, KeyError, IndexError, TypeError, AttributeError, zlib.error):
-                    items = []
-                yield pd.DataFrame(items, columns=columns[1:]).assign(doc_id=row.doc_id)[columns]
 
-    return files.select("doc_id", "content").mapInPandas(run, ITEMS)
+_ARROW = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
+
+
+def read_containers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The containers of documents (doc_id, content), a batch a document, their items as arrays.
+
+    Documents may have what ``layout.with_document_boxes`` adds. A broken file gives no rows;
+    ``assembled`` gives its error.
+    """
+    for batch in batches:
+        boxes = batch.column("boxes") if "boxes" in batch.schema.names else [None] * batch.num_rows
+        for doc_id, content, own in zip(batch.column("doc_id"), batch.column("content"), boxes, strict=True):
+            found: dict[tuple, list[dict]] = {}
+            try:
+                for item in page_items(content.as_py() or b""):
+                    found.setdefault((item["pageno"], item["container"], item["page_w"], item["page_h"]), []).append(item)
+            except BROKEN:
+                continue
+            if not found:
+                continue
+            pageno, container, w, h = zip(*found, strict=True)
+            by_page = layout.boxes_by_page(own.as_py() if own is not None else None)
+            columns = {"doc_id": pa.array([doc_id.as_py()] * len(found), pa.int64()), "pageno": pa.array(pageno, pa.int32()), "container": pa.array(container), "page_w": pa.array(w, pa.float64()), "page_h": pa.array(h, pa.float64())}
+            columns |= {"boxes": pa.array([by_page.get(p) for p in pageno], layout.BOXES), "box_w": pa.array([int(x) for x in w], pa.int32()), "box_h": pa.array([int(x) for x in h], pa.int32())}
+            columns |= {c: pa.array([[item[c] for item in items] for items in found.values()], pa.list_(_ARROW[t])) for c, t in segment.ITEMS.items()}
+            yield pa.RecordBatch.from_pydict(columns)
 
 
 @dataclass(frozen=True)
@@ -574,13 +596,60 @@ class WideFont:
 
     data: bytes
     name: str = "Wide"
+    #: Whether files hold the outlines of the glyphs they use, and no others.
+    subset: bool = True
 
-    def _table(self, tag: bytes) -> bytes:
+    def _tables(self) -> dict[bytes, bytes]:
+        out = {}
         for k in range(struct.unpack(">H", self.data[4:6])[0]):
             name, _, offset, length = struct.unpack(">4sLLL", self.data[12 + 16 * k : 28 + 16 * k])
-            if name == tag:
-                return self.data[offset : offset + length]
-        raise PdfError(f"the font has no table {tag!r}")
+            out[name] = self.data[offset : offset + length]
+        return out
+
+    def _table(self, tag: bytes) -> bytes:
+        tables = self._tables()
+        if tag not in tables:
+            raise PdfError(f"the font has no table {tag!r}")
+        return tables[tag]
+
+    def only(self, used: set[int]) -> bytes:
+        """The file with the outlines of some glyphs and what these are composed of.
+
+        Glyph numbers stay, as the text refers to them. A file without plain outlines stays whole.
+        """
+        tables = self._tables()
+        if b"glyf" not in tables or b"loca" not in tables:
+            return self.data
+        glyf, wide = tables[b"glyf"], struct.unpack(">h", tables[b"head"][50:52])[0]
+        n = len(tables[b"loca"]) // (4 if wide else 2)
+        at = [x if wide else 2 * x for x in struct.unpack(f">{n}{'L' if wide else 'H'}", tables[b"loca"])]
+        keep, todo = set(), [0, *used]
+        while todo:
+            g = todo.pop()
+            if g in keep or not 0 <= g < n - 1:
+                continue
+            keep.add(g)
+            outline, p, more = glyf[at[g] : at[g + 1]], 10, len(glyf[at[g] : at[g + 1]]) > 10 and struct.unpack(">h", glyf[at[g] : at[g] + 2])[0] < 0
+            while more:  # components: flags, glyph, offsets, scales
+                flags, part = struct.unpack(">HH", outline[p : p + 4])
+                todo.append(part)
+                p += 4 + (4 if flags & 1 else 2) + (2 if flags & 8 else 4 if flags & 0x40 else 8 if flags & 0x80 else 0)
+                more = flags & 0x20
+        outlines, ends = [], [0]
+        for g in range(n - 1):
+            outline = glyf[at[g] : at[g + 1]] if g in keep else b""
+            outlines.append(outline + b"\0" * (-len(outline) % 4))
+            ends.append(ends[-1] + len(outlines[-1]))
+        head = tables[b"head"]
+        new = {t: tables[t] for t in (b"cvt ", b"fpgm", b"hhea", b"hmtx", b"maxp", b"prep") if t in tables}
+        new |= {b"glyf": b"".join(outlines), b"loca": struct.pack(f">{n}L", *ends), b"head": head[:8] + b"\0\0\0\0" + head[12:50] + struct.pack(">h", 1) + head[52:]}
+        power = len(new).bit_length() - 1
+        out, body, start = struct.pack(">LHHHH", 0x10000, len(new), 16 << power, power, 16 * len(new) - (16 << power)), b"", 12 + 16 * len(new)
+        for tag in sorted(new):
+            padded = new[tag] + b"\0" * (-len(new[tag]) % 4)
+            out += struct.pack(">4sLLL", tag, sum(struct.unpack(f">{len(padded) // 4}L", padded)) & 0xFFFFFFFF, start + len(body), len(new[tag]))
+            body += padded
+        return out + body
 
     def cmap(self) -> dict[int, int]:
         t, out = self._table(b"cmap"), {}
@@ -613,10 +682,15 @@ class WideFont:
         wide = {c: advances[min(g, len(advances) - 1)] for c, g in cmap.items()}
         return Metrics(TIMES, wide, 1.0, lambda c: cmap.get(c, 0))
 
-    def embed(self, doc: Document) -> Ref:
-        file = doc.add(Stream({"Filter": Name("FlateDecode"), "Length1": len(self.data)}, zlib.compress(self.data)))
+    def embed(self, doc: Document, used: set[int] | None = None) -> Ref:
+        """The font's objects in a document; ``used``: the glyphs that its text has."""
+        some = self.subset and used is not None
+        data = self.only(used) if some else self.data
+        advances = self.advances()
+        widths = [x for g in sorted(used) for x in (g, [round(1000 * advances[min(g, len(advances) - 1)])])] if some else [0, [round(1000 * w) for w in advances]]
+        file = doc.add(Stream({"Filter": Name("FlateDecode"), "Length1": len(data)}, zlib.compress(data)))
         about = doc.add({"Type": Name("FontDescriptor"), "FontName": Name(self.name), "Flags": 4, "FontBBox": [0, -300, 1000, 1000], "ItalicAngle": 0, "Ascent": 880, "Descent": -120, "CapHeight": 700, "StemV": 80, "FontFile2": file})
-        inner = doc.add({"Type": Name("Font"), "Subtype": Name("CIDFontType2"), "BaseFont": Name(self.name), "CIDSystemInfo": {"Registry": b"Adobe", "Ordering": b"Identity", "Supplement": 0}, "FontDescriptor": about, "CIDToGIDMap": Name("Identity"), "W": [0, [round(1000 * w) for w in self.advances()]]})
+        inner = doc.add({"Type": Name("Font"), "Subtype": Name("CIDFontType2"), "BaseFont": Name(self.name), "CIDSystemInfo": {"Registry": b"Adobe", "Ordering": b"Identity", "Supplement": 0}, "FontDescriptor": about, "CIDToGIDMap": Name("Identity"), "W": widths})
         return doc.add({"Type": Name("Font"), "Subtype": Name("Type0"), "BaseFont": Name(self.name), "Encoding": Name("Identity-H"), "DescendantFonts": [inner]})
 
 
@@ -631,11 +705,16 @@ def _plain_wide(doc: Document) -> Ref:
     return doc.add({"Type": Name("Font"), "Subtype": Name("Type0"), "BaseFont": Name("Wide"), "Encoding": Name("Identity-H"), "DescendantFonts": [inner]})
 
 
+#: Codes of wide text in the operators that typesetting writes.
+_WIDE_TEXT = re.compile(rf"/{WIDE_FONT} [^\[]*\[<([0-9a-f]*)>\]")
+
+
 def patched(content: bytes, ops: Mapping[tuple[int, str], str], wide: WideFont | None = None) -> bytes:
     """The file with new text on the pages and forms (page number, container) given."""
     doc = Document(content)
     base_font = doc.add({"Type": Name("Font"), "Subtype": Name("Type1"), "BaseFont": Name("Times-Roman"), "Encoding": Name("WinAnsiEncoding")})
-    fonts = {BASE_FONT: base_font, WIDE_FONT: wide.embed(doc) if wide else _plain_wide(doc)}
+    used = {int(codes[k : k + 4], 16) for said in ops.values() for codes in _WIDE_TEXT.findall(said) for k in range(0, len(codes), 4)}
+    fonts = {BASE_FONT: base_font, WIDE_FONT: wide.embed(doc, used) if wide else _plain_wide(doc)}
 
     def with_fonts(resources: dict) -> dict:
         return {**resources, "Font": {**(doc.get(resources.get("Font")) or {}), **fonts}}
@@ -711,7 +790,7 @@ def assembled(files: DataFrame, ops: DataFrame, wide: WideFont | None = None) ->
                     content = bytes(row.content)
                     mono = patched(content, {(p["pageno"], p["container"]): p["ops"] for p in (row.patches if row.patches is not None else [])}, wide)
                     out.append((row.doc_id, mono, interleaved(content, mono), None))
-                except (PdfError, ValueError, KeyError, IndexError, TypeError, AttributeError, zlib.error) as failure:
+                except BROKEN as failure:
                     out.append((row.doc_id, None, None, f"{type(failure).__name__}: {failure}"))
             yield pd.DataFrame(out, columns=["doc_id", "mono_content", "dual_content", "error"])
 

@@ -55,3 +55,13 @@ def test_interleaved(spark):
     assert [(r.position, r.side, r.ops) for r in got] == [(0, "original", "a"), (1, "translated", "A"), (2, "original", "b"), (3, "translated", "B")]
     doc = assemble.document_pages(assemble.interleaved(pages, pages)).first()
     assert [p.position for p in doc.pages] == [0, 1, 2, 3]
+
+
+def test_form_tree_of_any_depth(spark):
+    from quire.operators import drawing
+
+    unit = [1.0, 0.0, 0.0, 1.0, 1.0, 0.0]
+    forms = spark.createDataFrame([(1, k, k + 1, unit) for k in range(40)], "doc_id long, parent long, form long, matrix array<double>")
+    roots = spark.createDataFrame([(1, 0, 0, unit)], "doc_id long, page int, form long, matrix array<double>")
+    got = sorted((r.depth, r.form, r.matrix[4]) for r in drawing.form_tree(forms, roots).collect())
+    assert got == [(k, k, k + 1.0) for k in range(41)]

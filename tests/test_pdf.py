@@ -4,7 +4,7 @@ import zlib
 import pytest
 
 from quire.operators import memory
-from quire.plans import derived, pipeline
+from quire.plans import pipeline
 from quire.plans.options import Options
 from quire.sources import files, pdf
 from quire.sources.pdf import Document, Name, Ref, Stream
@@ -135,7 +135,7 @@ def test_files_to_files(spark, tmp_path):
     good = sample(pages=("BT /F1 12 Tf 100 700 Td (Hello) Tj 0 -14 Td (world 5) Tj ET", "BT /F1 12 Tf 100 700 Td (Next) Tj ET"))
     docs = files.from_bytes(spark, [good, b"broken"])
     e = memory.Engine("pseudo", "en", "zh", "", memory.pseudo("zh"))
-    got = {r.doc_id: r for r in pipeline.translate_files(docs, None, derived.class_names(spark), e, Options(service="pseudo", pages=(0,))).collect()}
+    got = {r.doc_id: r for r in pipeline.translate_files(docs, None, None, e, Options(service="pseudo", pages=(0,))).collect()}
     assert got[1].error and got[1].mono_content is None
     mono, dual = bytes(got[0].mono_content), bytes(got[0].dual_content)
     assert ["".join(i["ch"] for i in pdf.page_items(mono) if i["ch"] and i["pageno"] == p) for p in (0, 1)] == ["[zh] Hello world 5", "Next"]
@@ -196,3 +196,58 @@ def test_service(spark):
     assert "".join(i["ch"] for i in pdf.page_items(mono) if i["ch"]).startswith("[fr] Hello") and len(Document(dual).pages) == 2
     assert json.loads(ask(f"/{job}", method="DELETE")[1])["state"] == "SUCCESS"
     web.shutdown()
+
+
+def test_layout_through_the_command_line(spark, tmp_path):
+    from quire.plans.cli import main
+
+    path = tmp_path / "a.pdf"
+    path.write_bytes(sample(pages=("BT /F1 12 Tf 100 700 Td (Text) Tj ET BT /F1 12 Tf 100 400 Td (Cells) Tj ET",)))
+    boxes = tmp_path / "boxes"
+    spark.createDataFrame([(f"file:{path}", 0, 0, 90.0, 360.0, 300.0, 420.0, 0.9, "table", 612.0, 792.0)], "path string, pageno int, det_idx int, x0 double, y0 double, x1 double, y1 double, conf double, name string, page_w double, page_h double").write.parquet(str(boxes))
+    engine = lambda spec, lang_in, lang_out, *_: memory.Engine("pseudo", lang_in, lang_out, "", memory.pseudo(lang_out))
+
+    def said(*more):
+        assert main([str(path), "-lo", "fr", "-o", str(tmp_path / "out"), *more], engine) == 0
+        return "".join(i["ch"] for i in pdf.page_items((tmp_path / "out/a-mono.pdf").read_bytes()) if i["ch"])
+
+    assert said("--boxes", str(boxes)) == "[fr] TextCells"
+    assert said() == "[fr] Text Cells"
+    with pytest.raises(ValueError, match="images"):
+        main([str(path), "--onnx", "model.onnx"], engine)
+
+
+def outline_font():
+    """Four glyphs with outlines: 3 is composed of 1."""
+    simple = struct.pack(">hhhhh", 1, 0, 0, 10, 10) + b"\x01" * 14
+    composite = struct.pack(">hhhhh", -1, 0, 0, 10, 10) + struct.pack(">HHbb", 0x02, 1, 0, 0)
+    glyf, at = b"", [0]
+    for outline in (simple, simple, simple, composite):
+        glyf += outline
+        at.append(len(glyf))
+    tables = {b"glyf": glyf, b"loca": struct.pack(">5H", *(x // 2 for x in at)), b"head": b"\0" * 18 + struct.pack(">H", 1000) + b"\0" * 30 + struct.pack(">hh", 0, 0), b"hhea": b"\0" * 34 + struct.pack(">H", 4), b"hmtx": struct.pack(">HhHhHhHh", 500, 0, 600, 0, 700, 0, 800, 0), b"maxp": b"\0" * 6}
+    out, start, body = struct.pack(">LHHHH", 0x10000, len(tables), 0, 0, 0), 12 + 16 * len(tables), b""
+    for tag, t in tables.items():
+        out += struct.pack(">4sLLL", tag, 0, start + len(body), len(t))
+        body += t
+    return pdf.WideFont(out + body)
+
+
+def test_font_subset():
+    font = outline_font()
+    for used, kept in (({3}, {0, 1, 3}), ({2}, {0, 2}), (set(), {0})):
+        small = pdf.WideFont(font.only(used))
+        at = struct.unpack(">5L", small._table(b"loca"))
+        assert {g for g in range(4) if at[g] < at[g + 1]} == kept and small.advances() == font.advances()
+    mono = pdf.patched(sample(), {(0, "page"): "BT /noto 10.0 Tf 1 0 0 1 0 0 Tm [<00020002>] TJ ET "}, font)
+    whole = pdf.patched(sample(), {(0, "page"): "BT /noto 10.0 Tf 1 0 0 1 0 0 Tm [<00020002>] TJ ET "}, pdf.WideFont(font.data, subset=False))
+    sizes = [next(v.info["Length1"] for v in Document(c).objects.values() if isinstance(v, Stream) and "Length1" in v.info) for c in (mono, whole)]
+    assert sizes[0] != sizes[1] == len(font.data)
+    assert [i["x0"] for i in pdf.page_items(mono) if i["ch"]] == pytest.approx([0.0, 7.0])
+
+
+def test_deep_nesting_is_the_files_error(spark):
+    deep = sample().replace(b"/Rotate 0", b"/Rotate " + b"[" * 5000 + b"]" * 5000)
+    e = memory.Engine("pseudo", "en", "zh", "", memory.pseudo("zh"))
+    got = {r.doc_id: r for r in pipeline.translate_files(files.from_bytes(spark, [deep, sample()]), None, None, e, Options(service="pseudo")).collect()}
+    assert "Recursion" in got[0].error and got[1].mono_content

@@ -4,8 +4,8 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from quire.operators import memory, typeset
-from quire.plans import derived, pipeline
+from quire.operators import memory, segment, typeset
+from quire.plans import pipeline
 from quire.plans.cli import main, page_numbers
 from quire.plans.jobs import Jobs, NotReady
 from quire.plans.options import Options
@@ -36,23 +36,36 @@ def test_plain_flow(spark, tmp_path):
 
 def test_pages_flow(spark):
     text = "ab 12"
-    glyphs = [(1, p, "page", k, c, 0, "Times", 10.0, 6.0 * k, 6.0 * k + 5, 100.0, 110.0, 1.0, 1.0, 0.0) for p in (0, 1) for k, c in enumerate(text)]
-    df = spark.createDataFrame(glyphs, "doc_id long, pageno int, container string, seq long, ch string, cid int, font string, size double, x0 double, x1 double, y0 double, y1 double, a double, d double, linewidth double")
-    none = spark.createDataFrame([], "doc_id long, pageno int, det_idx int, x0 double, y0 double, x1 double, y1 double, conf double, cls int")
-    got = pipeline.translate_pages(df, none, derived.class_names(spark), pseudo(), Options(pages=(1,), service="pseudo"), typeset.Metrics({c: 0.5 for c in range(32, 127)})).collect()
-    assert [(r.doc_id, r.pageno) for r in got] == [(1, 1)]
-    assert bytes.fromhex("".join(re.findall("<(.*?)>", got[0].ops))).decode() == "[zh] ab 12"
-    assert pipeline.bilingual(df.select("doc_id", "pageno", F.lit("x").alias("ops")).distinct(), df.select("doc_id", "pageno", F.lit("y").alias("ops")).distinct()).count() == 4
+    n = len(text)
+    lists = {"ch": list(text), "cid": [0] * n, "font": ["Times"] * n, "size": [10.0] * n, "x0": [6.0 * k for k in range(n)], "x1": [6.0 * k + 5 for k in range(n)], "y0": [100.0] * n, "y1": [110.0] * n, "a": [1.0] * n, "d": [1.0] * n, "linewidth": [0.0] * n}
+    df = spark.createDataFrame([(1, p, "page", *[lists[c] for c in segment.ITEMS]) for p in (0, 1)], "doc_id long, pageno int, container string, " + ", ".join(f"{c} array<{t}>" for c, t in segment.ITEMS.items()))
+    metrics = typeset.Metrics({c: 0.5 for c in range(32, 127)})
+
+    def said(boxes):
+        got = pipeline.translate_pages(df, boxes, None, pseudo(), Options(pages=(1,), service="pseudo"), metrics).collect()
+        assert [(r.doc_id, r.pageno) for r in got] == [(1, 1)]
+        return bytes.fromhex("".join(re.findall("<(.*?)>", got[0].ops))).decode()
+
+    box = "doc_id long, pageno int, det_idx int, x0 double, y0 double, x1 double, y1 double, conf double, name string"
+    assert said(None) == said(spark.createDataFrame([], box)) == "[zh] ab 12"
+    table = spark.createDataFrame([(1, 1, 0, 0.0, 600.0, 300.0, 750.0, 0.9, "table")], box)
+    assert said(table) == "\0" * n  # a table's glyphs are drawn again as they are, by their codes
+    assert pipeline.bilingual(df.select("doc_id", "pageno", F.lit("x").alias("ops")), df.select("doc_id", "pageno", F.lit("y").alias("ops"))).count() == 4
 
 
 def test_jobs(spark):
     jobs = Jobs(spark)
     done = jobs.submit(lambda: spark.range(5))
-    assert jobs.wait(done, 60) == "SUCCESS" and len(jobs.fetch(done)) == 5
+    assert jobs.wait(done, 60) == "SUCCESS" and jobs.fetch(done).count() == 5
     bad = jobs.submit(lambda: spark.range(1).select(F.raise_error(F.lit("no"))))
     assert jobs.wait(bad, 60) == "FAILURE"
     with pytest.raises(NotReady):
         jobs.fetch(bad)
+    jobs.forget(done)
+    assert not jobs.known(done)
+    steps = spark.sparkContext.accumulator(0)
+    counted = jobs.submit(lambda: spark.range(6).mapInPandas(lambda it: (steps.add(len(b)) or b for b in it), "id long"), total=6, done=steps)
+    assert jobs.wait(counted, 60) == "SUCCESS" and steps.value == 6
     slow = jobs.submit(lambda: spark.range(4).mapInPandas(lambda it: (time.sleep(30) or b for b in it), "id long"), total=4)
     time.sleep(2)
     assert jobs.status(slow)["state"] == "PROGRESS"
