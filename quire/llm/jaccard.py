@@ -12,16 +12,24 @@ Prefixes under the first order are joined by token. Tokens held by up to ``small
 give pairs, kept if they share enough. A class with fewer than l tokens above that bound
 cannot have a partner that it shares only such tokens with; the others (groups of near
 copies) are linked by each such token to its least class. The groups so connected hold
-all similar pairs. Their whole sets are shipped once for each pair of blocks of a group,
-hashed blocks of bounded size; such a task applies the filters of all three orders,
-intersects what passes, and hands on a spanning forest of the links that it finds. So no
-pairs of a large group become rows, and no link between classes is lost.
+all similar pairs.
+
+A group's classes are dealt to hashed blocks of bounded size. A task applies the filters
+of all three orders, intersects what passes, verifies the pairs that remain and are not
+connected yet, and hands on a spanning forest of the links that it finds. First each block
+is compared with itself and a few pivots of its group, which all blocks share; that
+connects the bulk of a group of near copies, and each set is shipped once. Only classes
+that are then outside the largest component of their group are compared with all blocks of
+it, as two classes of one component need no link more. So no pairs of a large group become
+rows, and no link between components is lost.
 
 Defined results: words are split at ASCII white space and lower-cased A to Z only; with
 fewer words than the width, the whole sequence is the one token; a text without words
 (null, empty, blank) has 0 tokens and is linked with nothing, its component is its own id;
 rows of the same id are documents of their own, which share that id; a null id is never
-the smallest; an empty table gives an empty result.
+the smallest; the smallest id decides ties; a very long text is taken in one step of numpy
+(about 40 bytes a byte of it); extra columns stay in ``keep_first``, whatever their names,
+and are ignored in ``similar``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import LOWER, forget, map_batches, mixed, pieces, table, text_buffer, word_bounds, word_hashes, written
+from quire.llm.common import LOWER, forget, map_batches, mixed, pieces, table, text_buffer, unused, word_bounds, word_hashes, written
 from quire.llm.components import components
 
 WIDTH, PERCENT = 4, 85
@@ -43,6 +51,8 @@ HEAVY = 1 << 18
 SMALL = 32
 #: Classes and tokens of a block, about.
 BLOCK_CLASSES, BLOCK_TOKENS = 256, 1 << 18
+#: Classes of a group that every block of it is compared with.
+PIVOTS = 4
 STEP, ORDERS = 1 << 19, 3
 #: Up to so many ids, a list of them is broadcast (8 bytes each).
 BROADCAST_IDS = 200_000
@@ -158,7 +168,7 @@ def heavy_tokens(texts: DataFrame, width: int, salt: int, limit: int = HEAVY) ->
 
 
 def classify(docs: DataFrame, orders, width: int, salt: int) -> DataFrame:
-    """id, cls, proof, n of every text; first-order prefix where a task first meets a class."""
+    """id, version, cls, proof, n of every text; first-order prefix where a task first meets a class."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -172,9 +182,9 @@ def classify(docs: DataFrame, orders, width: int, salt: int) -> DataFrame:
                 size.append(len(s))
                 prefix.append(o.prefixes(s, 1)[0].view(np.int64) if len(s) and c not in seen else None)
                 seen.add(c)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cls, pa.int64()), pa.array(proof, pa.int64()), pa.array(size, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], names=["id", "cls", "proof", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(cls, pa.int64()), pa.array(proof, pa.int64()), pa.array(size, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))], names=["id", "version", "cls", "proof", "n", "prefix"])
 
-    return map_batches(docs, each, "id long, cls long, proof long, n long, prefix array<long>")
+    return map_batches(docs, each, "id long, version long, cls long, proof long, n long, prefix array<long>")
 
 
 def _products(sets: list[np.ndarray]) -> np.ndarray:
@@ -198,21 +208,24 @@ def _products(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def block_links(cls: list[int], sets: list[np.ndarray], orders: Orders) -> list[tuple[int, int]]:
-    """A spanning forest of the links among the classes of a task."""
+def block_links(cls: list[int], sets: list[np.ndarray], orders: Orders, asked: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links among the classes of a task.
+
+    ``asked``: which classes ask; pairs of two that do not are left out. Sets ascend.
+    """
     n = np.array([len(s) for s in sets])
     fit = 100 * np.minimum.outer(n, n) >= orders.percent * np.maximum.outer(n, n)
+    if asked is not None:
+        fit &= np.logical_or.outer(asked, asked)
     np.fill_diagonal(fit, False)
     least = shared_least(np.minimum.outer(n, n))
     prefixes = [orders.prefixes(s) for s in sets]
+    both = None
     for k in range(ORDERS):
         if not fit.any():
             return []
-        fit &= _products([p[k] for p in prefixes]) >= least
-    if not fit.any():
-        return []
-    both = _products(sets)
-    fit &= 100 * both >= orders.percent * (np.add.outer(n, n) - both)
+        both = _products([p[k] for p in prefixes])
+        fit &= both >= least
     root = list(range(len(n)))
 
     def top(x: int) -> int:
@@ -222,22 +235,36 @@ def block_links(cls: list[int], sets: list[np.ndarray], orders: Orders) -> list[
         return x
 
     out = []
-    for a, b in zip(*np.nonzero(np.triu(fit, 1)), strict=True):
-        x, y = top(int(a)), top(int(b))
-        if x != y:
+    a, b = np.nonzero(np.triu(fit, 1))
+    for k in np.argsort(-both[a, b] / np.maximum(n[a], n[b]), kind="stable"):  # the likeliest first
+        i, j = int(a[k]), int(b[k])
+        x, y = top(i), top(j)
+        if x == y:
+            continue
+        shared = int(_held(sets[i], sets[j]))
+        if 100 * shared >= orders.percent * (n[i] + n[j] - shared):
             root[x] = y
-            out.append((cls[a], cls[b]))
+            out.append((cls[i], cls[j]))
     return out
 
 
+def _held(a: np.ndarray, b: np.ndarray) -> int:
+    """Tokens that two ascending sets share."""
+    a, b = (a, b) if len(a) <= len(b) else (b, a)
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    return int((b[at] == a).sum())
+
+
 def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH, percent: int = PERCENT, small: int = SMALL, salt: int = 0) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id of every row of docs."""
     spark = docs.sparkSession
     context = spark.sparkContext
-    narrow = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    narrow = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("version"))
+    # A row by which the text of a class is found again: null ids spread by their texts.
+    key = F.coalesce("id", F.lit(-(2**63)))
     orders = context.broadcast(Orders(*heavy_tokens(narrow.select("text"), width, salt), percent))  # at most HEAVY entries
     rows, _ = written(classify(narrow, orders, width, salt), "classes")
-    classes, _ = written(rows.where("cls is not null").groupBy("cls").agg(F.min("id").alias("first"), F.max("n").alias("n"), (F.min("proof") != F.max("proof")).alias("clash")), "class")
+    classes, _ = written(rows.where("cls is not null").groupBy("cls").agg(F.min("id").alias("first"), F.max(F.struct(key.alias("id"), "version")).alias("at"), F.max("n").alias("n"), (F.min("proof") != F.max("proof")).alias("clash")), "class")
     if classes.where("clash").limit(1).count():  # two sets of one 64-bit class: hash anew
         return similar(docs, text, doc_id, width, percent, small, salt + 1)
 
@@ -264,49 +291,78 @@ def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width:
     placed, blocked = written(sized.join(blocks, F.col("root") == F.col("r")).select(F.col("node").alias("cls"), "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")), "blocks")
 
     # The sets of the classes that are compared at all, from one text of each.
-    no_id = F.lit(-(2**63))
-    wanted, asked = written(classes.join(placed.select("cls"), "cls", "left_semi").select(F.coalesce("first", no_id).alias("key"), F.col("cls").alias("want")), "wanted")
+    wanted, asked = written(classes.join(placed.select("cls"), "cls", "left_semi").select(F.col("at.id").alias("k"), F.col("at.version").alias("v"), F.col("cls").alias("want")), "wanted")
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    texts = narrow.withColumn("key", F.coalesce("id", no_id)).join(wanted, "key").select("want", "text")
+    texts = narrow.join(wanted, (key == F.col("k")) & (F.col("version") == F.col("v"))).select("want", "text")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # rows of one id and text come once from a task
         for batch in batches:
             want, cls, sets = batch.column(0).to_pylist(), [], []
             for k, s in token_sets(batch.column(1), width, salt):
-                if len(s) and digest(s)[0] == want[k]:  # rows of one id may differ in text
+                if want[k] not in seen and len(s) and digest(s)[0] == want[k]:
+                    seen.add(want[k])
                     cls.append(want[k])
                     sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(sets, pa.binary())], names=["cls", "tokens"])
 
-    sets = map_batches(texts, gather, "cls long, tokens binary").dropDuplicates(["cls"])
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    met = placed.select("cls", "root", "block", other).select("cls", "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    key = ["root", "i", "j"]
+    sets, held_sets = written(map_batches(texts, gather, "cls long, tokens binary").dropDuplicates(["cls"]), "sets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         o = orders.value
-        now, cls, held = None, [], []
+        now, cls, held, asks = None, [], [], []
 
         def links() -> pa.RecordBatch:
-            found = block_links(cls, held, o) if len(cls) > 1 else []
+            found = block_links(cls, held, o, np.array(asks)) if len(cls) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            roots, i, j, names = (batch.column(k).to_pylist() for k in range(4))
-            for k, (task, name) in enumerate(zip(zip(roots, i, j, strict=True), names, strict=True)):
+            roots, i, j, asking, names = (batch.column(k).to_pylist() for k in range(5))
+            for k, (task, ask, name) in enumerate(zip(zip(roots, i, j, strict=True), asking, names, strict=True)):
                 if task != now:
                     if len(cls) > 1:
                         yield links()
-                    now, cls, held = task, [], []
+                    now, cls, held, asks = task, [], [], []
+                if cls and cls[-1] == name:  # a class that asks lies in its own block too
+                    asks[-1] = asks[-1] or ask
+                    continue
                 cls.append(name)
-                held.append(np.frombuffer(batch.column(4)[k].as_py(), np.uint64))
+                asks.append(ask)
+                held.append(np.frombuffer(batch.column(5)[k].as_py(), np.uint64))
         yield links()
 
-    tasks = met.join(sets, "cls").select(*key, "cls", "tokens").repartition(*key).sortWithinPartitions(*key)
-    links = map_batches(tasks, compare, "a long, b long")
-    roots = components(links)
-    for done in (postings, blocked, asked):  # the links are written; nothing reads these again
-        forget(spark, done)
+    def compared(met: DataFrame) -> DataFrame:
+        """Links among the classes of each task (root, i, j) that involve one that asks."""
+        task = ["root", "i", "j"]
+        tasks = met.join(sets, "cls").select(*task, "ask", "cls", "tokens").repartition(*task).sortWithinPartitions(*task, "cls")
+        return map_batches(tasks, compare, "a long, b long")
+
+    yes, no = F.lit(True).alias("ask"), F.lit(False).alias("ask")
+    own = placed.select("cls", "root", F.col("block").alias("i"))
+    wide = placed.where("blocks > 1")
+    done = [postings, blocked, asked, held_sets]
+    if not wide.limit(1).count():  # every group is one block, compared with itself
+        roots = components(compared(own.select("cls", "root", "i", F.col("i").alias("j"), yes)))
+    else:
+        # Each block with itself and the pivots of its group.
+        pivots = [F.min(F.struct(F.xxhash64("cls", F.lit(f"pivot {k}")), "cls"))["cls"] for k in range(PIVOTS)]
+        first_few = wide.groupBy("root").agg(F.array_distinct(F.array(*pivots)).alias("cls"), F.first("blocks").alias("blocks"))
+        everywhere = first_few.select(F.explode("cls").alias("cls"), "root", "blocks").select("cls", "root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
+        inside, links_a = written(compared(own.union(everywhere).distinct().select("cls", "root", "i", F.col("i").alias("j"), yes)), "links")
+        # What is not in the largest component of its group then meets all blocks of the group.
+        part = components(inside).select(F.col("node").alias("n"), F.col("root").alias("p"))
+        parts, partly = written(wide.join(part, F.col("cls") == F.col("n"), "left").select("cls", "root", "blocks", "block", F.coalesce("p", "cls").alias("part")), "parts")
+        sizes = parts.groupBy("root", "part").agg(F.count("*").alias("size"))
+        largest, _ = written(sizes.groupBy(F.col("root").alias("r")).agg(F.max(F.struct("size", "part"))["part"].alias("most")), "largest")
+        loose = parts.join(largest, F.col("root") == F.col("r")).where("part <> most").drop("r", "most")
+        many, _ = written(loose.groupBy(F.col("root").alias("r")).agg(F.ceil(F.count("*") / BLOCK_CLASSES).cast("int").alias("asking")), "asking")
+        outside, outer = written(loose.join(many, F.col("root") == F.col("r")).select("cls", "root", "blocks", F.pmod(F.xxhash64("cls", F.lit("ask")), F.col("asking")).cast("int").alias("i")), "outside")
+        asking = outside.select("cls", "root", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), yes)
+        asked_of = parts.join(many, F.col("root") == F.col("r")).select("cls", "root", F.explode(F.sequence(F.lit(0), F.col("asking") - 1)).alias("i"), F.col("block").alias("j"), no)
+        roots = components(inside.unionByName(compared(asking.unionByName(asked_of))))
+        done += [links_a, partly, outer]
+    for path in done:  # the links are written; nothing reads these again
+        forget(spark, path)
     labelled = classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))
     least = labelled.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("component_id"))
     # Written, so that the join reads both sides from shuffles of their own and can split the
@@ -322,18 +378,19 @@ def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **op
 
     Rows without tokens are linked with nothing and stay, as do rows without an id.
     """
+    its = unused(docs, "id")[0]
     mine = F.col(doc_id) == F.col("component_id")
-    found, _ = written(similar(docs, text, doc_id, **options).where(f"{doc_id} is not null").groupBy(F.col(doc_id).alias("__id")).agg(F.max(mine).alias("first"), F.count("*").alias("rows")), "kept")
+    found, _ = written(similar(docs, text, doc_id, **options).where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias(its)).agg(F.max(mine).alias("first"), F.count("*").alias("rows")), "kept")
     # Texts are shuffled once at any size and not sorted; the other side is ids.
-    rows = docs.join(found.where("not first").select("__id").hint("shuffle_hash"), F.col(doc_id) == F.col("__id"), "left_anti")
+    rows = docs.join(found.where("not first").select(its).hint("shuffle_hash"), F.col(doc_id) == F.col(its), "left_anti")
     # Rows of one id are one document here: the first in a fixed order stays.
-    again = found.where("first and rows > 1").select("__id")
-    doubled, _ = written(again, "again")
+    doubled, _ = written(found.where("first and rows > 1").select(its), "again")
     if not doubled.limit(1).count():
         return rows
-    order = Window.partitionBy(doc_id).orderBy(F.xxhash64(text), text, *[c for c in docs.columns if c not in (text, doc_id)])
-    several = rows.join(doubled, F.col(doc_id) == F.col("__id"), "left_semi").withColumn("__n", F.row_number().over(order)).where("__n = 1").select(*docs.columns)
-    return rows.join(doubled, F.col(doc_id) == F.col("__id"), "left_anti").union(several)
+    others = [c for c in docs.columns if c not in (text, doc_id)]
+    order = F.struct(F.xxhash64(text), F.col(text), *([F.to_json(F.struct(*others))] if others else []))
+    several = rows.join(doubled, F.col(doc_id) == F.col(its), "left_semi").groupBy(F.col(doc_id).alias(its)).agg(F.min_by(F.struct(*docs.columns), order).alias("row"))
+    return rows.join(doubled, F.col(doc_id) == F.col(its), "left_anti").unionByName(several.select(*[F.col("row")[c].alias(c) for c in docs.columns]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

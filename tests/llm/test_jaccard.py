@@ -65,6 +65,54 @@ def test_blocks_of_a_group(spark, monkeypatch):
     assert sorted(tuple(r)[:3] for r in jaccard.similar(docs, small=3).collect()) == brute(rows)
 
 
+def test_bridges_between_blocks_of_a_group(spark, monkeypatch):
+    """A group that shares a long passage but falls into several components, one link between two of them."""
+    monkeypatch.setattr(jaccard, "BLOCK_CLASSES", 6)
+    monkeypatch.setattr(jaccard, "PIVOTS", 1)
+    r = random.Random(15)
+    words = [f"w{k}" for k in range(4000)]
+    shared = r.sample(words, 70)
+    out = []
+    for _ in range(12):
+        own = r.sample(words, 30)
+        for _ in range(6):
+            t = shared + own
+            t[70 + r.randrange(30)] = r.choice(words)
+            out.append(" ".join(t))
+    chain = shared + r.sample(words, 40)
+    for k in range(40):  # each like the one before, the last unlike the first
+        out.append(" ".join(chain))
+        chain = chain[:70] + chain[71:] + [r.choice(words)]
+    r.shuffle(out)
+    rows = list(enumerate(out))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(tuple(r)[:3] for r in jaccard.similar(docs, small=3).collect()) == brute(rows)
+
+
+def test_links_of_a_block_are_a_spanning_forest():
+    r = random.Random(16)
+    orders = jaccard.Orders(np.zeros(0, np.uint64), np.zeros(0, np.int64), 85)
+    base = np.array(r.sample(range(10**6), 100), np.uint64)
+    sets = [np.unique(np.concatenate([base[r.randrange(8) :], np.array(r.sample(range(10**6, 2 * 10**6), r.randrange(6)), np.uint64)])) for _ in range(50)]
+    links = jaccard.block_links(list(range(50)), sets, orders)
+    assert len(links) == 49
+    some = jaccard.block_links(list(range(50)), sets, orders, np.arange(50) < 5)
+    assert 5 <= len(some) <= 49 and all(min(a, b) < 5 for a, b in some)
+
+
+def test_null_and_repeated_ids(spark):
+    texts = corpus(17, groups=6)
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else 100 + k, t) for k, (_, t) in enumerate(texts)]
+    numbered = brute([(k, t) for k, (_, t) in enumerate(texts)])
+    least = {}
+    for k, _, c in numbered:
+        if rows[k][0] is not None:
+            least[c] = min(least.get(c, 10**9), rows[k][0])
+    want = sorted(((rows[k][0], n, least.get(c) if n else rows[k][0]) for k, n, c in numbered), key=str)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((tuple(r)[:3] for r in jaccard.similar(docs).collect()), key=str) == want
+
+
 def test_heavy_table_never_changes_the_result(spark, monkeypatch):
     rows = corpus(6, groups=6)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
