@@ -1,26 +1,35 @@
 """Personal data by bootstrapped contextual extraction; DataFrame functions only.
 
 Base spans of four kinds come from patterns with checks (parts of an ip, Luhn's sum,
-numbers of digits). Their values are the seeds. What stands left of a seed on its line, the
-last two words or one label word (ending in : = or #), is a lexical pattern of the seed's
-kind. A wider pattern for each kind finds candidates: things of the kind's rough shape that
-the base leaves out. Patterns and values form a graph. In each round a pattern's confidence
-is the share of known values among all different values that follow it, of any kind; the
-values that patterns of enough support and confidence precede become known, and may support
-further patterns in the next round. Candidates with a known value right of a trusted
-pattern are added, where they touch no base span; base spans always stay.
+numbers of digits). They are the seeds. What stands left of a seed on its line, the last two
+words or one label (ending in : = or #), is a lexical pattern of the seed's kind. What may
+be found beside the base: things of a kind's rough shape (a wider regular expression), and
+in a pattern's slot any single word that is no plain word (it holds a digit, a dot, an @ or
+the like within).
+
+Patterns and what follows them (values, by their first words) form a graph. The slot of
+each pattern that several such things follow is read over the whole corpus, and whatever
+different words stand there count, ordinary ones as well. In each round a pattern's
+confidence is the share of its slot's different contents that begin with a known value;
+the candidates that a pattern of enough support and confidence precedes become known, and
+support further patterns in the next round, until nothing is added. Candidates that are
+known, right of a trusted pattern, are added where they touch no base span and no
+candidate before them; base spans always stay.
 
 Positions: splitting a text at the matches gives the stretches between them, and running
 sums of the lengths of stretches and matches give starts and ends in code points. The sums
-are windows over matches, so a text with very many of them costs no more than a sort.
+are windows over matches, each running in one direction, so a text with very many of them
+costs no more than a sort.
 
 Documents without a digit or an @ are never matched. The regular expressions start at the
 first character of a run only (or where the last match ended), as a start inside a run
 cannot match if the run's own start did not; so a long run is passed once.
 
 Defined results: a null text is empty, with no spans and the checksum of an empty string;
-null ids and repeated rows are documents of their own; extra columns are ignored; an empty
-table gives an empty result.
+null ids and repeated rows are documents of their own; spans that start together go by
+kind as listed, and of candidates that touch the first by start and kind stays; a very
+long text is one row of its matches; extra columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -40,13 +49,21 @@ BASE = {
 }
 #: Rough shapes of the same kinds, for candidates.
 WIDE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]++)*+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?: at [A-Za-z0-9-]++(?: dot [A-Za-z0-9-]++)++| ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]++)*+)",
     "ip": r"(?<![0-9A-Fa-f:.])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){3,7}+(?![0-9A-Fa-f:])",
     "card": r"(?<![0-9])[0-9]{4}(?:[ .-]?[0-9]{3,6}){2,4}+(?![0-9])",
     "phone": r"(?<![0-9(+.])\(?[0-9]{2,4}\)?(?:[ ./-][0-9]{3,5}){1,3}+(?![0-9])",
 }
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-SUPPORT, CONFIDENCE, ROUNDS = 5, 0.8, 3
+SUPPORT, CONFIDENCE = 5, 0.8
+#: Words of a slot that are looked at, and of a value that tell it apart.
+AHEAD = 6
+#: Where words end: blanks, and after a mark that opens or labels what follows.
+BREAK = r"\s+|(?<=[:=#(\[<\"'])(?=\S)"
+WORD = r"[^\s:=#(\[<\"']*[:=#(\[<\"']|[^\s:=#(\[<\"']+"
+#: What is cut from a word's end; what a word holds within that is no plain word.
+TAIL = r"[.,;!?)\]>\"']+$"
+NO_WORD = r"[0-9@_]|\w[.+/%-]\w"
 #: Characters left of a match that its pattern is taken from.
 REACH = 80
 
@@ -77,26 +94,37 @@ def hits(text: Column, regex: str) -> Column:
     return F.filter(F.zip_with(F.split(text, regex, -1), F.regexp_extract_all(text, F.lit(regex), F.lit(0)), each), lambda x: x.isNotNull())
 
 
+def words(line: Column) -> Column:
+    return F.filter(F.split(F.lower(F.trim(line)), BREAK, -1), lambda w: w != "")
+
+
 def context(left: Column) -> Column:
-    """The lexical pattern in what is left of a match: a label word, or the last two words."""
-    line = F.element_at(F.split(left, "\n", -1), -1)
-    words = F.filter(F.split(F.lower(F.trim(line)), r"\s+"), lambda w: w != "")
-    last = F.element_at(words, -1)
-    return F.when(F.size(words) == 0, None).when(last.rlike("[:=#]$"), last).when(F.size(words) > 1, F.array_join(F.slice(words, -2, 2), " "))
+    """The lexical pattern in what is left of a match: a label, or the last two words."""
+    return _pattern(words(F.element_at(F.split(left, "\n", -1), -1)))
+
+
+def _pattern(said: Column) -> Column:
+    last = F.element_at(said, -1)
+    return F.when(F.size(said) == 0, None).when(last.rlike("[:=#]$"), last).when(F.size(said) > 1, F.array_join(F.slice(said, -2, 2), " "))
+
+
+def value_key(value: Column) -> Column:
+    """By which a value is known: its first words, in lower case, without marks at the end."""
+    return F.regexp_replace(F.array_join(F.slice(words(value), 1, AHEAD), " "), TAIL, "")
 
 
 def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """All documents (row, doc_id), and their matches with positions: base or candidate."""
     t = F.col("t")
     source = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    numeric, mail = t.rlike("[0-9]"), t.contains("@") | t.contains("(at)") | t.contains("[at]")
+    numeric, mail = t.rlike("[0-9]"), t.contains("@") | t.contains("(at)") | t.contains("[at]") | (t.contains(" at ") & t.contains(" dot "))
     columns = []
     for tier, patterns in (("base", BASE), ("wide", WIDE)):
         for kind, regex in patterns.items():
             guard = {"email": t.contains("@") if tier == "base" else mail, "phone": t.contains("+") & numeric if tier == "base" else numeric, "ip": numeric if tier == "base" else t.contains(":")}.get(kind, numeric)
             columns.append(F.struct(F.lit(tier).alias("tier"), F.lit(kind).alias("kind"), F.when(guard, hits(t, regex)).alias("hits")))
     # Written once: row numbers stay what they are, whatever is computed again later.
-    facts, _ = written(source.select("row", "doc_id", F.filter(F.array(*columns), lambda x: F.size(x["hits"]) > 0).alias("found")), "pii")
+    facts, _ = written(source.select("row", "doc_id", F.xxhash64("t").alias("version"), F.filter(F.array(*columns), lambda x: F.size(x["hits"]) > 0).alias("found")), "pii")
     order = Window.partitionBy("row", "tier", "kind").orderBy("pos")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = (
@@ -106,47 +134,92 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[
         .select("row", "tier", "kind", (F.col("end") - F.col("h.len")).alias("start"), "end", F.col("h.value").alias("value"), context(F.col("h.left")).alias("pattern"))
     )
     good = placed.where(F.when(F.col("tier") == "base", valid(F.col("kind"), F.col("value"))).otherwise(True))
-    # A candidate must touch no base span: none that starts before it ends after its start,
-    # and the next one starts no sooner than its end.
-    base = F.col("tier") == "base"
-    by_start = Window.partitionBy("row").orderBy("start", F.when(base, 0).otherwise(1))
-    before = F.max(F.when(base, F.col("end"))).over(by_start.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.min(F.when(base, F.col("start"))).over(by_start.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    free = good.withColumn("before", before).withColumn("after", after).where(base | ((F.coalesce("before", F.lit(0)) <= F.col("start")) & (F.coalesce("after", F.col("end")) >= F.col("end"))))
-    # Candidates of different kinds may touch: the first in order of start and kind stays.
-    rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
-    earlier = F.max(F.when(~base, F.col("end"))).over(Window.partitionBy("row").orderBy("start", rank).rowsBetween(Window.unboundedPreceding, -1))
-    found, _ = written(free.withColumn("earlier", earlier).where(base | F.col("earlier").isNull() | (F.col("earlier") <= F.col("start"))).drop("before", "after", "earlier"), "pii-spans")
-    return facts.select("row", "doc_id"), found
+    found, _ = written(apart(good), "pii-spans")
+    return facts.select("row", "doc_id", "version"), found
 
 
-def bootstrap(found: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """Trusted (kind, pattern) with their scores, and the known (kind, value) at the end."""
-    same = F.lower(F.regexp_replace("value", r"\s", ""))
-    edges, _ = written(found.where("pattern is not null").select("kind", "pattern", same.alias("value")).distinct(), "pii-edges")
-    known, _ = written(found.where("tier = 'base'").select("kind", same.alias("value")).distinct(), "pii-known")
-    followers = edges.groupBy("pattern").agg(F.countDistinct("value").alias("followers"))
+def apart(found: DataFrame) -> DataFrame:
+    """Base spans, and the candidates that touch no base span and no candidate before them."""
+    base = F.col("tier") == "base"
+    order = F.when(base, 0).otherwise(1)
+    # None of the base that starts before it ends after its start, and the next one starts
+    # no sooner than its end. Both frames run from the first row on, so each is one pass.
+    first = Window.unboundedPreceding
+    ahead, behind = Window.partitionBy("row").orderBy("start", order), Window.partitionBy("row").orderBy(F.desc("start"), order.desc())
+    before = F.max(F.when(base, F.col("end"))).over(ahead.rowsBetween(first, Window.currentRow))
+    after = F.min(F.when(base, F.col("start"))).over(behind.rowsBetween(first, Window.currentRow))
+    free = found.withColumn("before", before).withColumn("after", after).where(base | ((F.coalesce("before", F.lit(0)) <= F.col("start")) & (F.coalesce("after", F.col("end")) >= F.col("end"))))
+    rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
+    earlier = F.max(F.when(~base, F.col("end"))).over(Window.partitionBy("row").orderBy("start", F.desc("tier"), rank).rowsBetween(first, -1))
+    return free.withColumn("earlier", earlier).where(base | F.col("earlier").isNull() | (F.col("earlier") <= F.col("start"))).drop("before", "after", "earlier")
+
+
+def slots(docs: DataFrame, patterns: DataFrame, text: str = "text") -> DataFrame:
+    """pattern and tail, distinct: the words that stand right of one of the patterns."""
+    said = docs.where(F.col(text).isNotNull()).select(F.explode(F.split(text, "\n", -1)).alias("line")).select(words(F.col("line")).alias("w")).where(F.size("w") > 1)
+    at = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda k: F.struct(k.alias("k"), _pattern(F.slice(F.col("w"), F.greatest(k - 1, F.lit(1)), F.least(k, F.lit(2)))).alias("pattern")))
+    every = said.select("w", F.explode(at).alias("x")).select("w", "x.k", "x.pattern").join(patterns.select("pattern").distinct(), "pattern", "left_semi")
+    return every.select("pattern", F.array_join(F.slice("w", F.col("k") + 1, F.lit(AHEAD)), " ").alias("tail")).distinct()
+
+
+def bootstrap(docs: DataFrame, found: DataFrame, text: str = "text", support: int = SUPPORT, confidence: float = CONFIDENCE) -> tuple[DataFrame, DataFrame]:
+    """Trusted (kind, pattern) with their scores, and the known (kind, key) at the end."""
+    placed, _ = written(found.where("pattern is not null").select("kind", "tier", "pattern", value_key(F.col("value")).alias("key")).distinct(), "pii-edges")
+    # Patterns before enough different things of a kind's shape; no other can be trusted.
+    asked, _ = written(placed.groupBy("kind", "pattern").agg(F.countDistinct("key").alias("n")).where(F.col("n") >= support).select("kind", "pattern"), "pii-asked")
+    known, _ = written(placed.where("tier = 'base'").select("kind", "key").distinct(), "pii-known")
+    if not asked.limit(1).count():
+        return asked.withColumn("score", F.lit(0.0)), known
+    held, _ = written(slots(docs, asked, text), "pii-slots")
+    followers = held.groupBy("pattern").agg(F.count("*").alias("followers"))
+    begun = F.split("tail", " ")
+    keys = F.transform(F.sequence(F.lit(1), F.size(begun)), lambda k: F.regexp_replace(F.array_join(F.slice(begun, 1, k), " "), TAIL, ""))
+    begins, _ = written(held.select("pattern", "tail", F.explode(F.array_distinct(keys)).alias("key")).join(asked, "pattern"), "pii-begins")
+    # What a trusted pattern can make known: shapes, and single words that are no plain words.
+    open_ = held.select("pattern", F.regexp_replace(begun[0], TAIL, "").alias("key")).where(F.col("key").rlike(NO_WORD)).distinct().join(asked, "pattern").select("kind", "pattern", "key")
+    edges, _ = written(placed.select("kind", "pattern", "key").join(asked, ["kind", "pattern"], "left_semi").union(open_).distinct(), "pii-candidates")
     size = known.count()
-    for _ in range(rounds):
-        supported = edges.join(known, ["kind", "value"], "left_semi").groupBy("kind", "pattern").agg(F.count("*").alias("known_values"))
-        scored = supported.join(followers, "pattern").withColumn("confidence", F.col("known_values") / F.col("followers"))
+    while True:
+        supported = begins.join(known, ["kind", "key"], "left_semi").groupBy("kind", "pattern").agg(F.countDistinct("key").alias("known_values"), F.countDistinct("tail").alias("known_tails"))
+        scored = supported.join(followers, "pattern").withColumn("confidence", F.col("known_tails") / F.col("followers"))
         trusted, _ = written(scored.where((F.col("known_values") >= support) & (F.col("confidence") >= confidence)).withColumn("score", F.col("confidence") * F.log2("known_values")), "pii-patterns")
         # An instance's score is that of its best trusted pattern; any trusted one will do.
-        discovered = edges.join(trusted.select("kind", "pattern"), ["kind", "pattern"], "left_semi").select("kind", "value")
+        discovered = edges.join(trusted.select("kind", "pattern"), ["kind", "pattern"], "left_semi").select("kind", "key")
         known, _ = written(known.union(discovered).distinct(), "pii-known")
         size, was = known.count(), size
-        if size == was:
-            break
-    return trusted, known
+        if size == was:  # the known values only grow, and are finite
+            return trusted.select("kind", "pattern", "score"), known
+
+
+def open_spans(docs: DataFrame, everyone: DataFrame, trusted: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Words that are no plain words and stand in the slot of a trusted pattern, with positions."""
+    source = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("version"), F.col(text).alias("t"))
+    tokens = source.select("doc_id", "version", F.posexplode(hits(F.col("t"), WORD)).alias("pos", "h")).distinct()  # equal rows are looked at once
+    order = Window.partitionBy("doc_id", "version").orderBy("pos")
+    end = F.sum(F.col("h.gap") + F.col("h.len")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # The words before a word, on its line: what is left of it, up to the last match.
+    fresh = F.col("h.left").contains("\n")
+    word = F.lower("h.value")
+    one = F.when(~fresh, F.lag(word).over(order))
+    two = F.when(~fresh & ~F.lag(fresh).over(order), F.lag(word, 2).over(order))
+    placed = tokens.select("doc_id", "version", (end - F.col("h.len")).alias("start"), F.col("h.value").alias("value"), _pattern(F.filter(F.array(two, one), lambda w: w.isNotNull())).alias("pattern"))
+    trimmed = F.regexp_replace("value", TAIL, "")
+    some = placed.where(F.col("pattern").isNotNull() & trimmed.rlike(NO_WORD)).join(trusted.select("kind", "pattern"), "pattern")
+    spans_ = some.withColumn("end", F.col("start") + F.length(trimmed)).withColumn("key", F.lower(trimmed)).join(known, ["kind", "key"], "left_semi")
+    rows = everyone.withColumnRenamed("doc_id", "d").withColumnRenamed("version", "v")
+    return spans_.join(rows, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v"))).select("row", F.lit("open").alias("tier"), "kind", "start", "end", "value", "pattern")
 
 
 def extract(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: counts of base spans, checksum of the base, all spans, spans added."""
     everyone, found = spans(docs, doc_id, text)
-    trusted, known = bootstrap(found)
-    same = F.lower(F.regexp_replace("value", r"\s", ""))
-    added = found.where("tier <> 'base' and pattern is not null").withColumn("same", same).join(trusted.select("kind", "pattern"), ["kind", "pattern"], "left_semi").join(known.withColumnRenamed("value", "same"), ["kind", "same"], "left_semi")
-    kept = found.where("tier = 'base'").select("row", "tier", "kind", "start", "end").union(added.select("row", "tier", "kind", "start", "end"))
+    trusted, known = bootstrap(docs, found, text)
+    wide = found.where("tier <> 'base' and pattern is not null").withColumn("key", value_key(F.col("value")))
+    wide = wide.join(trusted.select("kind", "pattern"), ["kind", "pattern"], "left_semi").join(known, ["kind", "key"], "left_semi")
+    columns = ("row", "tier", "kind", "start", "end")
+    kept = found.where("tier = 'base'").select(*columns).union(wide.select(*columns))
+    if trusted.limit(1).count():
+        kept = apart(kept.union(open_spans(docs, everyone, trusted, known, doc_id, text).select(*columns)))
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     span = F.struct("start", rank.alias("rank"), "end", "tier", F.concat_ws(":", "kind", "start", "end").alias("said"))
     base = F.col("tier") == "base"
