@@ -2,26 +2,32 @@
 
 Headers (id, payload digest, length) are shuffled by digest, without payloads. Of each
 digest, the row with the largest id is the response; the others become revisit records,
-which carry fresh headers and no payload and name the response. Archives are written by
-Spark's own committer, a record a row, so that a lost executor's half-written file never
-counts and any file system Spark writes to will do; they are read back as whole files of
-a bounded size and parsed by Content-Length, so that payloads may hold any bytes.
+which carry fresh headers and no payload and name the response. A file begins with a
+warcinfo record; each record is a gzip member of its own, so that readers can seek.
+
+Archives are written by Spark's own committer, so that a lost executor's half-written file
+never counts and any file system Spark writes to will do; when all are written they get
+names that end in .warc.gz. They are read back as streams of lines, put together again by
+Content-Length, so that payloads may hold any text and no task holds a whole file.
 
 Reading resolves revisits: headers of the two kinds meet by digest and id, and a revisit
 gets its length from the response that it names.
 
 Defined results: a null html is an empty payload; a null url gives a record without a
 target URI; payloads below ``least`` bytes are all responses; rows that share both the
-largest id and the payload are responses each; a null id sorts lowest and is written as
-``null``; an empty table gives an empty archive.
+largest id and the payload are responses each, under one record id; a null id sorts lowest
+and is written as ``null``; a very long payload is one record, held whole by one task;
+extra columns are ignored; an empty table gives files without pages.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
+import struct
+import zlib
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,10 +35,12 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import map_batches, new_path, table, written
 
-#: A record's end in the format; the writer puts it after each row.
-END = "\r\n\r\n"
-FILE_BYTES = 24 << 20
+END = b"\r\n\r\n"
+#: Payload bytes of a file: the least, and the most. Between them it grows with the input.
+FILE_BYTES, MOST_FILE_BYTES, FILES = 24 << 20, 1 << 30, 4096
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: A gzip member of nothing.
+EMPTY = zlib.compress(b"", wbits=31)
 
 
 def payload_digest(html: Column) -> Column:
@@ -65,16 +73,17 @@ def _lines(*fields: tuple[str, object]):
     return F.concat_ws("\r\n", *[F.concat(F.lit(f"{name}: "), value) for name, value in fields])
 
 
-def _urn(column):
-    return F.concat(F.lit("<urn:page:"), F.coalesce(column.cast("string"), F.lit("null")), F.lit(">"))
+def _urn(page: Column, digest: Column) -> Column:
+    return F.concat(F.lit("<urn:page:"), F.coalesce(page.cast("string"), F.lit("null")), F.lit(":"), digest, F.lit(">"))
 
 
-def records(pages: DataFrame, files: int, least: int = 0, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """One string a page: a WARC response or revisit record without its end.
+def records(pages: DataFrame, files: int, least: int = 0, page_id: str = "page_id", url: str = "url", html: str = "html", date: str | None = None) -> DataFrame:
+    """head and block of a WARC response or revisit record for each page.
 
     Payloads are shuffled once, by id and digest into as many partitions as files, so
-    that rows of one payload spread.
+    that rows of one payload spread. ``date``: of the records, the present by default.
     """
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     body = F.coalesce(F.col(html), F.lit(""))
     key = ("p", "payload_digest")
     rows = pages.select(F.coalesce(F.col(page_id).cast("string"), F.lit("null")).alias("p"), F.col(page_id).alias("page_id"), F.col(url).alias("url"), body.alias("html"), payload_digest(body).alias("payload_digest"), F.octet_length(body).cast("long").alias("payload_bytes"))
@@ -82,69 +91,120 @@ def records(pages: DataFrame, files: int, least: int = 0, page_id: str = "page_i
     joined = rows.repartition(files, *key).join(known.repartition(files, *key), list(key), "left")
     revisit = F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))
     clean_url = F.regexp_replace("url", r"[\r\n]+", "%0A")
+    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit("\r\n\r\n"))
+    block = F.concat(http, F.when(revisit, "").otherwise(F.col("html")))
     head = _lines(
         ("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        ("WARC-Record-ID", _urn(F.col("page_id"))),
-        ("WARC-Date", F.lit("1970-01-01T00:00:00Z")),
+        ("WARC-Record-ID", _urn(F.col("page_id"), F.col("payload_digest"))),
+        ("WARC-Date", F.lit(date)),
         ("WARC-Target-URI", clean_url),
         ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
         ("WARC-Profile", F.when(revisit, F.lit(PROFILE))),
-        ("WARC-Refers-To", F.when(revisit, _urn(F.col("response")))),
-        ("Content-Type", F.lit("text/html")),
-        ("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("payload_bytes").cast("string"))),
+        ("WARC-Refers-To", F.when(revisit, _urn(F.col("response"), F.col("payload_digest")))),
+        ("WARC-Refers-To-Date", F.when(revisit, F.lit(date))),
+        ("Content-Type", F.lit("application/http; msgtype=response")),
+        ("Content-Length", F.octet_length(block).cast("string")),
     )
-    return joined.select(F.concat(F.lit("WARC/1.1\r\n"), head, F.lit("\r\n\r\n"), F.when(revisit, "").otherwise(F.col("html"))).alias("value"))
+    return joined.select(F.concat(F.lit("WARC/1.1\r\n"), head, F.lit("\r\n\r\n")).alias("head"), block.alias("block"))
+
+
+def member(record: bytes) -> bytes:
+    """A record as a gzip member, without the last byte, a zero that the writer puts after each row.
+
+    That byte is the highest one of the length; from 16 MB on it may be another, and an
+    empty member follows.
+    """
+    packed = zlib.compress(record, 6, wbits=31)
+    return (packed if packed[-1] == 0 else packed + EMPTY)[:-1]
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    about = b"software: quire\r\nformat: WARC File Format 1.1\r\n"
+    stamp = datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ").encode()
+    name = hashlib.sha1(struct.pack("d", datetime.now(timezone.utc).timestamp()) + str(id(batches)).encode()).hexdigest().encode()
+    info = b"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:sha1:" + name + b">\r\nWARC-Date: " + stamp + b"\r\nContent-Type: application/warc-fields\r\nContent-Length: " + str(len(about)).encode() + END + about + END
+    yield pa.RecordBatch.from_arrays([pa.array([member(info)], pa.binary())], names=["value"])
+    for batch in batches:
+        heads, blocks = (c.cast(pa.binary()) for c in batch.columns)
+        yield pa.RecordBatch.from_arrays([pa.array([member(h.as_py() + b.as_py() + END) for h, b in zip(heads, blocks, strict=True)], pa.binary())], names=["value"])
 
 
-def write_archives(pages: DataFrame, path: str, least: int = 0, file_bytes: int = FILE_BYTES, **names: str) -> None:
-    """Writes gzip-compressed WARC files of about ``file_bytes`` payload bytes each."""
+def write_archives(pages: DataFrame, path: str, least: int = 0, file_bytes: int | None = None, **names: str) -> None:
+    """Writes WARC files of about ``file_bytes`` payload bytes each, by default by the input's size."""
+    spark = pages.sparkSession
     total = pages.agg(F.coalesce(F.sum(F.octet_length(F.col(names.get("html", "html")))), F.lit(0)), F.count("*")).first()
-    files = max(1, -(-total[0] // file_bytes), -(-total[1] // 100_000))
-    records(pages, files, least, **names).write.option("lineSep", END).option("compression", "gzip").text(path)
-
-
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Records of one uncompressed archive: header fields and block."""
-    at = 0
-    while at < len(data):
-        stop = data.index(b"\r\n\r\n", at)
-        first, *lines = data[at:stop].decode().split("\r\n")
-        if not first.startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        fields = dict(x.split(": ", 1) for x in lines)
-        body = stop + 4
-        at = body + int(fields["Content-Length"])
-        yield fields, data[body:at]
-        if data[at : at + 4] != b"\r\n\r\n":
-            raise ValueError(f"a record does not end at byte {at}")
-        at += 4
+    file_bytes = file_bytes or min(MOST_FILE_BYTES, max(FILE_BYTES, total[0] // FILES))
+    files = max(1, -(-total[0] // file_bytes), min(FILES, -(-total[1] // 100_000)))
+    packed = map_batches(records(pages, files, least, **names), _members, "value binary")
+    # The text writer puts a value's bytes as they are, and the separator after each.
+    packed.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").text(path)
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for k, part in enumerate(system.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/part-*"))):  # as many as files
+        if not system.rename(part.getPath(), jvm.org.apache.hadoop.fs.Path(folder, f"quire-{k:06d}.warc.gz")):
+            raise OSError(f"cannot rename {part.getPath()}")
+
+
+class Parser:
+    """Records of a stream that comes in pieces: header fields and block."""
+
+    def __init__(self) -> None:
+        self.held = bytearray()
+
+    def feed(self, data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+        self.held += data
+        at = 0
+        while (stop := self.held.find(END, at)) >= 0:
+            first, *lines = self.held[at:stop].decode().split("\r\n")
+            if not first.startswith("WARC/"):
+                raise ValueError("what stands after a record is none")
+            fields = dict(x.split(": ", 1) for x in lines)
+            body = stop + len(END)
+            end = body + int(fields["Content-Length"])
+            if len(self.held) < end + len(END):
+                break
+            if self.held[end : end + len(END)] != END:
+                raise ValueError("a record does not end where its length says")
+            yield fields, bytes(self.held[body:end])
+            at = end + len(END)
+        del self.held[:at]
 
 
 def _id(urn: str | None) -> int | None:
-    got = urn[len("<urn:page:") : -1] if urn else "null"
+    got = urn.removeprefix("<urn:page:").partition(":")[0] if urn else "null"
     return None if got == "null" else int(got)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, record_type, refers_to, payload_digest, held_bytes, url of each record.
+    """page_id, record_type, refers_to, payload_digest, held_bytes, url of each page's record.
 
     Digests of responses are taken anew from the payload and must match the header.
     """
+    columns = {"page_id": pa.int64(), "record_type": pa.string(), "refers_to": pa.int64(), "payload_digest": pa.string(), "held_bytes": pa.int64(), "url": pa.string()}
+
+    def rows(found: Iterator[tuple[dict[str, str], bytes]]) -> Iterator[tuple]:
+        for fields, body in found:
+            if fields["WARC-Type"] == "warcinfo":
+                continue
+            digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
+            payload = body[body.index(END) + len(END) :]
+            if fields["WARC-Type"] == "response" and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
+                raise ValueError(f"the payload of {fields['WARC-Record-ID']} does not match its digest")
+            yield _id(fields["WARC-Record-ID"]), fields["WARC-Type"], _id(fields.get("WARC-Refers-To")), digest, len(payload), fields.get("WARC-Target-URI")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parser = Parser()
         for batch in batches:
-            for content in batch.column(0):
-                out = {k: [] for k in ("page_id", "record_type", "refers_to", "payload_digest", "held_bytes", "url")}
-                for fields, body in parse(gzip.decompress(content.as_py())):
-                    digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                    if fields["WARC-Type"] == "response" and base64.b32encode(hashlib.sha1(body).digest()).decode() != digest:
-                        raise ValueError(f"the payload of {fields['WARC-Record-ID']} does not match its digest")
-                    for k, v in zip(out, (_id(fields["WARC-Record-ID"]), fields["WARC-Type"], _id(fields.get("WARC-Refers-To")), digest, len(body), fields.get("WARC-Target-URI")), strict=True):
-                        out[k].append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(out["page_id"], pa.int64()), pa.array(out["record_type"], pa.string()), pa.array(out["refers_to"], pa.int64()), pa.array(out["payload_digest"], pa.string()), pa.array(out["held_bytes"], pa.int64()), pa.array(out["url"], pa.string())], names=list(out))
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return map_batches(files, read, "page_id long, record_type string, refers_to long, payload_digest string, held_bytes long, url string")
+            made = list(rows(parser.feed(b"".join(x + b"\n" for x in batch.column(0).cast(pa.binary()).to_pylist()))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in made], t) for k, t in enumerate(columns.values())], names=list(columns))
+        if parser.held.strip(b"\r\n"):
+            raise ValueError("an archive is cut off")
+
+    # A compressed file is read by one task, in order; where one file follows another in a
+    # task, records still end where they should.
+    lines = spark.read.option("lineSep", "\n").option("pathGlobFilter", "*.warc.gz").text(path)
+    return map_batches(lines, read, "page_id long, record_type string, refers_to long, payload_digest string, held_bytes long, url string")
 
 
 def resolved(archive: DataFrame) -> DataFrame:
