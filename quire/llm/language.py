@@ -12,7 +12,9 @@ The score is the posterior probability of the predicted language.
 Defined results: a text that is null, empty or without a letter is ``und`` with score 0;
 without any labelled text every text is; ties go to the language first in code-point
 order; a null doc_id is never held out and never learned from; repeated rows are rows of
-their own; very long texts are taken in slices that overlap by the n-gram length.
+their own; very long texts are taken in slices that overlap by the n-gram length; bytes
+that are no UTF-8 count as the replacement character, which is no letter; extra columns
+stay, those named like an output are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import crc_mod, map_batches, pieces, table, text_buffer, without
+from quire.llm.common import crc_mod, map_batches, pieces, table, text_buffer, unused, without
 
 UNKNOWN = "und"
 BUCKET_BITS, ORDERS, SMOOTH = 16, (1, 2, 3), 0.5
@@ -78,10 +80,15 @@ def _batches(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
     low, _ = _tables()
     for i, j in pieces(offs, STEP):
         part = buf[offs[i] : offs[j]]
-        raw = np.frombuffer(part.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-        # Where texts end, in code points: bytes that continue a code point do not count.
-        heads = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])
-        cuts = heads[offs[i : j + 1] - offs[i]]
+        try:
+            raw = np.frombuffer(part.tobytes().decode().encode("utf-32-le"), np.uint32)
+            # Where texts end, in code points: bytes that continue a code point do not count.
+            heads = np.concatenate([[0], np.cumsum((part & 0xC0) != 0x80)])
+            cuts = heads[offs[i : j + 1] - offs[i]]
+        except UnicodeDecodeError:  # text by text, what is no UTF-8 replaced
+            texts = [buf[offs[k] : offs[k + 1]].tobytes().decode("utf-8", "replace") for k in range(i, j)]
+            raw = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+            cuts = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
         for begin in range(0, max(1, len(raw)), STEP):  # more than one slice for one very long text only
             stop = min(len(raw), begin + STEP)
             over = min(len(raw), stop + max(ORDERS) - 1)
@@ -155,19 +162,19 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: s
     return Model(languages, prior, np.log(sums / sums.sum(axis=0)).astype(np.float32))
 
 
-def identify(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """rows with lang_pred and score."""
-    rows = without(rows, "lang_pred", "score")
+def identify(rows: DataFrame, model: Model, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """rows with the predicted language and the score."""
+    rows = without(rows, *names)
     at = rows.columns.index(text)
     held = rows.sparkSession.sparkContext.broadcast(model)
-    shape = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    shape = T.StructType([*rows.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        names = [*m.languages, UNKNOWN]
+        languages = [*m.languages, UNKNOWN]
         for batch in batches:
             best, sure = m.scores(batch.column(at))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([names[x] for x in best], pa.string()), pa.array(sure, pa.float64())], names=[f.name for f in shape.fields])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([languages[x] for x in best], pa.string()), pa.array(sure, pa.float64())], names=[f.name for f in shape.fields])
 
     return map_batches(rows, score, shape)
 
@@ -178,7 +185,8 @@ def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     The declared language is learned from and not compared with: clean documents stay.
     """
     held = docs.columns
-    return identify(docs, train(docs)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*held)
+    names = tuple(unused(docs, "lang_pred", "score"))
+    return identify(docs, train(docs), names=names).where((F.col(names[0]) != UNKNOWN) & (F.col(names[1]) >= least)).select(*held)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
