@@ -25,12 +25,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm import common
-from quire.llm.common import LOWER, crc_mod, map_batches, pieces, table, text_buffer, without
+from quire.llm.common import LOWER, crc_mod, map_batches, pieces, table, text_buffer, unused, without
 
 #: Labelled rows learned from, at most.
 TRAIN_ROWS = 20_000
 TREES, DEPTH, RATE, LEAST_ROWS = 40, 3, 0.3, 15
-LASSO, ROUNDS, KEEP = 0.002, 1500, 60
+LASSO, ROUNDS = 0.002, 1500
 CUT = 0.7
 STEP = 1 << 19
 
@@ -200,8 +200,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Rules:
     _, unique = np.unique(m, axis=1, return_index=True)  # rules that hold for the same rows count once
     names, m = [names[k] for k in sorted(unique)], m[:, sorted(unique)]
     w, b = _lasso(m, y, base, LASSO)
-    keep = np.argsort(-np.abs(w), kind="stable")[:KEEP]
-    keep = np.sort(keep[np.abs(w[keep]) > 1e-4])
+    keep = np.flatnonzero(np.abs(w) > 1e-4)  # the penalty alone decides which rules stay
     w, b = _lasso(m[:, keep], y, b, LASSO / 10)  # weights anew, with less shrinkage
     return Rules([names[k] for k in keep], w, b)
 
@@ -251,8 +250,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: st
     """Learns from at most ``train_rows`` labels, the first in a hashed order."""
     known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("label_id"), F.col(label).cast("double").alias("y"))
     sample = known.orderBy(F.xxhash64("label_id", F.lit("quality")), "label_id", "y").limit(train_rows)
-    picked = docs.select(doc_id, text).join(F.broadcast(sample), F.col(doc_id) == F.col("label_id")).select("label_id", "y", text)
-    rows = with_statistics(picked, text, keep_text=False).where(F.col("statistics")[FEATURES.index("log_words")] > 0).toArrow()  # train_rows rows of few numbers
+    picked = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(F.broadcast(sample), F.col("id") == F.col("label_id")).select("label_id", "y", F.xxhash64("t").alias("h"), "t")
+    stated = with_statistics(picked, "t", keep_text=False).where(F.col("statistics")[FEATURES.index("log_words")] > 0)
+    # Repeated ids: one row of each, so that no more rows are learned from than labels.
+    rows = stated.groupBy("label_id", "y").agg(F.min_by("statistics", "h").alias("statistics")).toArrow()  # train_rows rows of few numbers
     if not rows.num_rows:
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
     x = rows["statistics"].combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES))
@@ -262,10 +263,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: st
 
 def score(rows: DataFrame, rules: Rules, text: str = "text", cut: float = CUT, keep_text: bool = True) -> DataFrame:
     """rows with score and predicted."""
-    rows = without(rows, "score", "predicted", "statistics")
-    stated = with_statistics(rows, text, keep_text=keep_text)
-    wordless = F.col("statistics")[FEATURES.index("log_words")] <= 0
-    return stated.withColumn("score", F.when(wordless, 0.0).otherwise(rules.column("statistics"))).withColumn("predicted", (F.col("score") >= cut).cast("int")).drop("statistics")
+    rows = without(rows, "score", "predicted")
+    name = unused(rows, "statistics")[0]
+    stated = with_statistics(rows, text, name, keep_text)
+    wordless = F.col(name)[FEATURES.index("log_words")] <= 0
+    return stated.withColumn("score", F.when(wordless, 0.0).otherwise(rules.column(name))).withColumn("predicted", (F.col("score") >= cut).cast("int")).drop(name)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
