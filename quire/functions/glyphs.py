@@ -58,17 +58,17 @@ def encoded(text: Column, wide: Column) -> Column:
 
 
 def text_op(font: Column, size: Column, x: Column, y: Column, codes: Column) -> Column:
-    return F.format_string("/%s %f Tf 1 0 0 1 %f %f Tm [<%s>] TJ ", font, size, x, y, codes)
+    return F.format_string(values.TEXT_OPERATOR, font, size, x, y, codes)
 
 
 def line_op(x: Column, y: Column, xlen: Column, ylen: Column, width: Column) -> Column:
-    return F.format_string("ET q 1 0 0 1 %f %f cm [] 0 d 0 J %f w 0 0 m %f %f l S Q BT ", x, y, width, xlen, ylen)
+    return F.format_string(values.LINE_OPERATOR, x, y, width, xlen, ylen)
 
 
 def text_op_bytes(font: str, size: float, x: float, y: float, codes: str) -> str:
     """The same in Python, whose %f rounds ties as the format's writers do."""
-    return f"/{font} {size:f} Tf 1 0 0 1 {x:f} {y:f} Tm [<{codes}>] TJ "
+    return values.TEXT_OPERATOR % (font, size, x, y, codes)
 
 
 def line_op_bytes(x: float, y: float, xlen: float, ylen: float, width: float) -> str:
-    return f"ET q 1 0 0 1 {x:f} {y:f} cm [] 0 d 0 J {width:f} w 0 0 m {xlen:f} {ylen:f} l S Q BT "
+    return values.LINE_OPERATOR % (x, y, width, xlen, ylen)

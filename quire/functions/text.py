@@ -74,12 +74,12 @@ def last_capture(text: Column, pattern: str, group: int = 1) -> Column:
 
 def drop_thought(text: Column) -> Column:
     """Without a leading thought block, to its first end mark."""
-    return F.regexp_replace(text, r"(?s)\A<think>.+?</think>", "")
+    return F.regexp_replace(text, f"(?s){values.THOUGHT}", "")
 
 
 def drop_thought_tolerant(text: Column) -> Column:
     """Without a leading thought block and the line ends and repeated marks after it."""
-    return strip(F.regexp_replace(strip(text), r"(?s)\A<think>.+?\n*(</think>|\n)*(</think>)\n*", ""))
+    return strip(F.regexp_replace(strip(text), f"(?s){values.THOUGHT_TOLERANT}", ""))
 
 
 def drop_end_of_turn(text: Column) -> Column:

@@ -70,6 +70,14 @@ GOOGLE_CHARS, BING_CHARS = 5000, 1000
 # Fixed value: what is stored where a service refuses a text for good.
 REFUSED = "IRREPARABLE TRANSLATION ERROR"
 
+# What a model thinks before it answers, at the start of an answer; with dots that match line ends.
+THOUGHT = r"^<think>.+?</think>"
+THOUGHT_TOLERANT = r"^<think>.+?\n*(</think>|\n)*(</think>)\n*"
+
+# How text and lines are written as drawing operators.
+TEXT_OPERATOR = "/%s %f Tf 1 0 0 1 %f %f Tm [<%s>] TJ "
+LINE_OPERATOR = "ET q 1 0 0 1 %f %f cm [] 0 d 0 J %f w 0 0 m %f %f l S Q BT "
+
 # Fonts and character categories of formulas, and the Greek block.
 FORMULA_FONTS = r"(CM[^R]|MS.M|XY|MT|BL|RM|EU|LA|RS|LINE|LCIRCLE|TeX-|rsfs|txsy|wasy|stmary|.*Mono|.*Code|.*Ital|.*Sym|.*Math)"
 FORMULA_CATEGORIES = ("Lm", "Mn", "Sk", "Sm", "Zl", "Zp", "Zs")

@@ -59,8 +59,6 @@ BING_ANSWER = "https://www.bing.com/ttranslatev3"
 BING_IG = r'"ig":"(.*?)"'
 BING_IID = r'data-iid="(.*?)"'
 BING_TOKEN = r'params_AbusePreventionHelper\s=\s\[(.*?),"(.*?)",'
-THOUGHT = r"\A<think>.+?</think>"
-THOUGHT_TOLERANT = r"\A<think>.+?\n*(</think>|\n)*(</think>)\n*"
 END_OF_TURN = "<end_of_turn>"
 
 CHAT = ("openai", "azure-openai", "modelscope", "zhipu", "silicon", "gemini", "grok", "groq", "deepseek", "openailiked", "qwen-mt")
@@ -120,7 +118,7 @@ def _json(transport: Transport, address: str, body: object, headers: Mapping[str
 
 def clean_answer(content: str, tolerant: bool = True) -> str:
     """Without a leading thought block."""
-    return re.sub(THOUGHT_TOLERANT if tolerant else THOUGHT, "", content.strip() if tolerant else content, count=1, flags=re.DOTALL).strip()
+    return re.sub(values.THOUGHT_TOLERANT if tolerant else values.THOUGHT, "", content.strip() if tolerant else content, count=1, flags=re.DOTALL).strip()
 
 
 def fill(template: str | None, lang_in: str, lang_out: str, text: str) -> list[dict[str, str]]:

@@ -359,6 +359,30 @@ def glyph_hex_encode(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", glyphs.encoded(F.col("text"), F.col("turn") % 2 == 0).alias("codes"))
 
 
+@query("SELECT p_partkey, p_size % 3 = 0 AND p_partkey % 2 = 0 AS vertical FROM part")
+def vertical_glyphs(spark, sf_dir):
+    a, d = F.col("p_size") % 3, F.col("p_partkey") % 2
+    return table(spark, sf_dir, "part").select("p_partkey", glyphs.vertical(a.cast("double"), d.cast("double")).alias("vertical"))
+
+
+@query(f"WITH {GLYPHS} SELECT ch, CAST(count(*) AS BIGINT) AS n, regexp_matches(ch, '^[\\p{{Lm}}\\p{{Mn}}\\p{{Sk}}]') AS modifier FROM glyphs GROUP BY ch")
+def modifier_class(spark, sf_dir):
+    counted = derived.glyphs(table(spark, sf_dir, "documents")).groupBy("ch").agg(F.count("*").alias("n"))
+    return counted.withColumn("modifier", glyphs.modifier(F.col("ch")))
+
+
+@query("SELECT l_orderkey, l_linenumber, printf('/%s %f Tf 1 0 0 1 %f %f Tm [<%s>] TJ ', l_shipmode_, l_quantity, l_extendedprice, l_tax, lower(l_returnflag)) AS op FROM (SELECT *, CASE WHEN l_linenumber % 2 = 0 THEN 'tiro' ELSE 'noto' END AS l_shipmode_ FROM lineitem)")
+def text_operator(spark, sf_dir):
+    font = F.when(F.col("l_linenumber") % 2 == 0, "tiro").otherwise("noto")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", glyphs.text_op(font, F.col("l_quantity"), F.col("l_extendedprice"), F.col("l_tax"), F.lower("l_returnflag")).alias("op"))
+
+
+@query("SELECT l_orderkey, l_linenumber, printf('ET q 1 0 0 1 %f %f cm [] 0 d 0 J %f w 0 0 m %f %f l S Q BT ', l_quantity, l_extendedprice, l_tax, l_discount, -l_quantity) AS op FROM lineitem")
+def line_operator(spark, sf_dir):
+    c = F.col
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", glyphs.line_op(c("l_quantity"), c("l_extendedprice"), c("l_discount"), -c("l_quantity"), c("l_tax")).alias("op"))
+
+
 # Layout
 
 
@@ -614,6 +638,20 @@ def charset_per_font(spark, sf_dir):
     return assemble.charset_of_pages(derived.spread(table(spark, sf_dir, "documents")), derived.read_pages)
 
 
+@query("SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN NULL ELSE 'q ' || p_name || 'Q ' || CAST(1 / s AS VARCHAR) || ' ' || CAST(-0.0::DOUBLE / (s * s) AS VARCHAR) || ' ' || CAST(-0.0::DOUBLE / (s * s) AS VARCHAR) || ' ' || CAST(1 / s AS VARCHAR) || ' ' || CAST(-x / s AS VARCHAR) || ' ' || CAST(-y / s AS VARCHAR) || ' cm BT' END AS ops FROM (SELECT *, power(2, p_size % 4)::DOUBLE AS s, (p_partkey % 9 + 1)::DOUBLE AS x, (p_size + 1)::DOUBLE AS y FROM part)")
+def form_patches(spark, sf_dir):
+    s = F.when(F.col("p_size") % 5 == 0, 0.0).otherwise(F.pow(F.lit(2.0), F.col("p_size") % 4))
+    none = F.lit(0.0)
+    ctm = F.array(s, none, none, s, (F.col("p_partkey") % 9 + 1).cast("double"), (F.col("p_size") + 1).cast("double"))
+    return table(spark, sf_dir, "part").select("p_partkey", drawing.form_patch(F.col("p_name"), ctm, F.lit("BT")).alias("ops"))
+
+
+@query(f"WITH {OPS}, k AS (SELECT *, op IN ('q', 'Q', 're', 'cm', 'S', 'BT', 'Do', 'l', 'm', 'w') AS passed FROM ops) SELECT obj_id, string_agg(CASE WHEN op = 'S' AND stroke THEN 'n S ' ELSE said || ' ' || op || ' ' END, '' ORDER BY seq, CASE WHEN op = 'S' AND stroke THEN 'n S ' ELSE said || ' ' || op || ' ' END) AS ops FROM k WHERE passed GROUP BY obj_id")
+def base_streams(spark, sf_dir):
+    rows = derived.ops(table(spark, sf_dir, "lineitem")).withColumn("kept", F.col("stroke") & (F.col("op") == "S"))
+    return drawing.base_stream(rows, ("obj_id",))
+
+
 # Files
 
 
