@@ -11,10 +11,10 @@ Patterns and what follows them (values, by their first words) form a graph. The
 each pattern that several such things follow is read over the whole corpus, and whatever
 different words stand there count, ordinary ones as well. In each round a pattern's
 confidence is the share of its slot's different contents that begin with a known value;
-the candidates that a pattern of enough support and confidence precedes become known, and
-support further patterns in the next round, until nothing is added. Candidates that are
-known, right of a trusted pattern, are added where they touch no base span and no
-candidate before them; base spans always stay.
+the shapes that a pattern of enough support and confidence precedes become known, and
+support further patterns in the next round, until nothing is added. Shapes that are known
+and words that are no plain words, right of a trusted pattern, are added where they touch
+no base span and no candidate before them; base spans always stay.
 
 Positions: splitting a text at the matches gives the stretches between them, and running
 sums of the lengths of stretches and matches give starts and ends in code points. The sums
@@ -58,6 +58,10 @@ _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 SUPPORT, CONFIDENCE = 5, 0.8
 #: Words of a slot that are looked at, and of a value that tell it apart.
 AHEAD = 6
+#: Words of a line that are taken at a time.
+STRETCH = 64
+#: One document in so many gives a first bound on a slot's contents.
+LOOK = 16
 #: Where words end: blanks, and after a mark that opens or labels what follows.
 BREAK = r"\s+|(?<=[:=#(\[<\"'])(?=\S)"
 WORD = r"[^\s:=#(\[<\"']*[:=#(\[<\"']|[^\s:=#(\[<\"']+"
@@ -155,43 +159,69 @@ def apart(found: DataFrame) -> DataFrame:
 
 
 def slots(docs: DataFrame, patterns: DataFrame, text: str = "text") -> DataFrame:
-    """pattern and tail, distinct: the words that stand right of one of the patterns."""
-    said = docs.where(F.col(text).isNotNull()).select(F.explode(F.split(text, "\n", -1)).alias("line")).select(words(F.col("line")).alias("w")).where(F.size("w") > 1)
-    at = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda k: F.struct(k.alias("k"), _pattern(F.slice(F.col("w"), F.greatest(k - 1, F.lit(1)), F.least(k, F.lit(2)))).alias("pattern")))
-    every = said.select("w", F.explode(at).alias("x")).select("w", "x.k", "x.pattern").join(patterns.select("pattern").distinct(), "pattern", "left_semi")
-    return every.select("pattern", F.array_join(F.slice("w", F.col("k") + 1, F.lit(AHEAD)), " ").alias("tail")).distinct()
+    """pattern and tail, distinct: the words that stand right of one of the patterns.
+
+    Lines are taken in stretches of ``STRETCH`` words, with one before and ``AHEAD`` after
+    them, so that the row of a word that is looked up is short, however long its line.
+    """
+    lines = docs.where(F.col(text).isNotNull()).select(F.explode(F.split(text, "\n", -1)).alias("line"))
+    said = lines.select(F.concat(F.array(F.lit("")), words(F.col("line"))).alias("w")).where(F.size("w") > 2)
+    cut = F.transform(F.sequence(F.lit(1), F.size("w") - 1, F.lit(STRETCH)), lambda k: F.slice(F.col("w"), k, STRETCH + 1 + AHEAD))
+    stretch = said.select(F.explode(cut).alias("c"))
+
+    def pattern(word: Column, k: Column) -> Column:
+        before = F.col("c")[k]
+        return F.when(F.substring(word, -1, 1).isin(":", "=", "#"), word).when(before != "", F.concat(before, F.lit(" "), word))
+
+    placed = stretch.select("c", F.posexplode(F.transform(F.slice("c", 2, STRETCH), pattern)).alias("k", "pattern")).where("pattern is not null")
+    found = placed.join(patterns.select("pattern").distinct(), "pattern", "left_semi")
+    return found.select("pattern", F.array_join(F.slice("c", F.col("k") + 3, F.lit(AHEAD)), " ").alias("tail")).where("tail <> ''").distinct()
 
 
 def bootstrap(docs: DataFrame, found: DataFrame, text: str = "text", support: int = SUPPORT, confidence: float = CONFIDENCE) -> tuple[DataFrame, DataFrame]:
-    """Trusted (kind, pattern) with their scores, and the known (kind, key) at the end."""
-    placed, _ = written(found.where("pattern is not null").select("kind", "tier", "pattern", value_key(F.col("value")).alias("key")).distinct(), "pii-edges")
-    # Patterns before enough different things of a kind's shape; no other can be trusted.
-    asked, _ = written(placed.groupBy("kind", "pattern").agg(F.countDistinct("key").alias("n")).where(F.col("n") >= support).select("kind", "pattern"), "pii-asked")
+    """Trusted (kind, pattern) with their scores, and the known (kind, key) at the end.
+
+    A pattern is asked as soon as enough different known values follow it, and no sooner.
+    A first look at one document in ``LOOK`` gives the least number of contents that its slot
+    can have; if even all shapes after the pattern would be too small a share of that, it can
+    never be trusted, and the whole corpus is not read for it.
+    """
+    placed, _ = written(found.where("pattern is not null").select("kind", "tier", "pattern", value_key(F.col("value")).alias("key")).groupBy("kind", "tier", "pattern", "key").agg(F.count("*").alias("n")), "pii-edges")
+    shapes = placed.groupBy("kind", "pattern").agg(F.sum("n").alias("most"))
+    edges = placed.select("kind", "pattern", "key").distinct()
     known, _ = written(placed.where("tier = 'base'").select("kind", "key").distinct(), "pii-known")
-    if not asked.limit(1).count():
-        return asked.withColumn("score", F.lit(0.0)), known
-    held, _ = written(slots(docs, asked, text), "pii-slots")
-    followers = held.groupBy("pattern").agg(F.count("*").alias("followers"))
-    begun = F.split("tail", " ")
-    keys = F.transform(F.sequence(F.lit(1), F.size(begun)), lambda k: F.regexp_replace(F.array_join(F.slice(begun, 1, k), " "), TAIL, ""))
-    begins, _ = written(held.select("pattern", "tail", F.explode(F.array_distinct(keys)).alias("key")).join(asked, "pattern"), "pii-begins")
-    # What a trusted pattern can make known: shapes, and single words that are no plain words.
-    open_ = held.select("pattern", F.regexp_replace(begun[0], TAIL, "").alias("key")).where(F.col("key").rlike(NO_WORD)).distinct().join(asked, "pattern").select("kind", "pattern", "key")
-    edges, _ = written(placed.select("kind", "pattern", "key").join(asked, ["kind", "pattern"], "left_semi").union(open_).distinct(), "pii-candidates")
+    asked = edges.limit(0).select("kind", "pattern")
+    trusted = asked.withColumn("score", F.lit(0.0))
+    begins = followers = None
     size = known.count()
     while True:
-        supported = begins.join(known, ["kind", "key"], "left_semi").groupBy("kind", "pattern").agg(F.countDistinct("key").alias("known_values"), F.countDistinct("tail").alias("known_tails"))
-        scored = supported.join(followers, "pattern").withColumn("confidence", F.col("known_tails") / F.col("followers"))
-        trusted, _ = written(scored.where((F.col("known_values") >= support) & (F.col("confidence") >= confidence)).withColumn("score", F.col("confidence") * F.log2("known_values")), "pii-patterns")
+        enough = edges.join(known, ["kind", "key"], "left_semi").groupBy("kind", "pattern").agg(F.countDistinct("key").alias("n")).where(F.col("n") >= support).select("kind", "pattern")
+        new, _ = written(enough.join(asked, ["kind", "pattern"], "left_anti"), "pii-asked")
+        if new.limit(1).count():
+            asked = asked.union(new)
+            some = slots(docs.where(F.pmod(F.xxhash64(text), F.lit(LOOK)) == 0), new, text).groupBy("pattern").agg(F.count("*").alias("least"))
+            hopeful, _ = written(new.join(shapes, ["kind", "pattern"]).join(some, "pattern", "left").where(F.col("most") >= confidence * F.coalesce("least", F.lit(0))).select("kind", "pattern"), "pii-hopeful")
+            if hopeful.limit(1).count():
+                held, _ = written(slots(docs, hopeful, text), "pii-slots")
+                begun = F.split("tail", " ")
+                keys = F.transform(F.sequence(F.lit(1), F.size(begun)), lambda k: F.regexp_replace(F.array_join(F.slice(begun, 1, k), " "), TAIL, ""))
+                more, _ = written(held.select("pattern", "tail", F.explode(F.array_distinct(keys)).alias("key")).join(hopeful, "pattern"), "pii-begins")
+                counts = held.join(hopeful, "pattern").groupBy("kind", "pattern").agg(F.count("*").alias("followers"))
+                begins, followers = (more, counts) if begins is None else (begins.union(more), followers.union(counts))
+        if begins is None:
+            return trusted, known
+        reached = begins.join(known, ["kind", "key"], "left_semi").groupBy("kind", "pattern").agg(F.countDistinct("key").alias("known_values"), F.countDistinct("tail").alias("known_tails"))
+        scored = reached.join(followers, ["kind", "pattern"]).withColumn("confidence", F.col("known_tails") / F.col("followers"))
+        trusted, _ = written(scored.where((F.col("known_values") >= support) & (F.col("confidence") >= confidence)).select("kind", "pattern", (F.col("confidence") * F.log2("known_values")).alias("score")), "pii-patterns")
         # An instance's score is that of its best trusted pattern; any trusted one will do.
         discovered = edges.join(trusted.select("kind", "pattern"), ["kind", "pattern"], "left_semi").select("kind", "key")
         known, _ = written(known.union(discovered).distinct(), "pii-known")
         size, was = known.count(), size
         if size == was:  # the known values only grow, and are finite
-            return trusted.select("kind", "pattern", "score"), known
+            return trusted, known
 
 
-def open_spans(docs: DataFrame, everyone: DataFrame, trusted: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def open_spans(docs: DataFrame, everyone: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Words that are no plain words and stand in the slot of a trusted pattern, with positions."""
     source = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("version"), F.col(text).alias("t"))
     tokens = source.select("doc_id", "version", F.posexplode(hits(F.col("t"), WORD)).alias("pos", "h")).distinct()  # equal rows are looked at once
@@ -205,7 +235,7 @@ def open_spans(docs: DataFrame, everyone: DataFrame, trusted: DataFrame, known:
     placed = tokens.select("doc_id", "version", (end - F.col("h.len")).alias("start"), F.col("h.value").alias("value"), _pattern(F.filter(F.array(two, one), lambda w: w.isNotNull())).alias("pattern"))
     trimmed = F.regexp_replace("value", TAIL, "")
     some = placed.where(F.col("pattern").isNotNull() & trimmed.rlike(NO_WORD)).join(trusted.select("kind", "pattern"), "pattern")
-    spans_ = some.withColumn("end", F.col("start") + F.length(trimmed)).withColumn("key", F.lower(trimmed)).join(known, ["kind", "key"], "left_semi")
+    spans_ = some.withColumn("end", F.col("start") + F.length(trimmed))
     rows = everyone.withColumnRenamed("doc_id", "d").withColumnRenamed("version", "v")
     return spans_.join(rows, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v"))).select("row", F.lit("open").alias("tier"), "kind", "start", "end", "value", "pattern")
 
@@ -219,7 +249,7 @@ def extract(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     columns = ("row", "tier", "kind", "start", "end")
     kept = found.where("tier = 'base'").select(*columns).union(wide.select(*columns))
     if trusted.limit(1).count():
-        kept = apart(kept.union(open_spans(docs, everyone, trusted, known, doc_id, text).select(*columns)))
+        kept = apart(kept.union(open_spans(docs, everyone, trusted, doc_id, text).select(*columns)))
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     span = F.struct("start", rank.alias("rank"), "end", "tier", F.concat_ws(":", "kind", "start", "end").alias("said"))
     base = F.col("tier") == "base"
