@@ -306,7 +306,8 @@ def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width:
                     sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(sets, pa.binary())], names=["cls", "tokens"])
 
-    sets, held_sets = written(map_batches(texts, gather, "cls long, tokens binary").dropDuplicates(["cls"]), "sets")
+    # Not made distinct: a class comes once from a task, and a comparison takes it once.
+    sets, held_sets = written(map_batches(texts, gather, "cls long, tokens binary"), "sets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         o = orders.value
@@ -323,7 +324,7 @@ def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width:
                     if len(cls) > 1:
                         yield links()
                     now, cls, held, asks = task, [], [], []
-                if cls and cls[-1] == name:  # a class that asks lies in its own block too
+                if cls and cls[-1] == name:  # come twice, or one that asks in its own block
                     asks[-1] = asks[-1] or ask
                     continue
                 cls.append(name)
