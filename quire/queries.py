@@ -662,9 +662,12 @@ def output_names(spark, sf_dir):
 
 @query("SELECT page_id, url FROM pages WHERE page_id % 7 = 0 AND page_id % 2 = 1")
 def missing_files_anti(spark, sf_dir):
-    wanted = table(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.concat(F.lit("/data/"), "url")).alias("path"))
+    # Pages may share an address, so a file is named by its page; the address goes along.
+    local = F.concat(F.lit("/data/"), "page_id", F.lit(".pdf"))
+    pages_ = table(spark, sf_dir, "pages").where("page_id is not null")
+    wanted = pages_.select("page_id", "url", F.when(F.col("page_id") % 2 == 1, local).otherwise(F.concat(F.lit("https://x/"), "page_id")).alias("path"))
     present = wanted.where("page_id % 7 <> 0")
-    return files.missing(wanted, present).select("page_id", F.substring("path", 7, 1_000_000).alias("url"))
+    return files.missing(wanted, present).select("page_id", "url")
 
 
 @query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'report' ELSE regexp_replace(regexp_extract(regexp_replace(url, '[?#].*$', ''), '[^/]*$'), '(.)\\.[^.]*$', '\\1') END || '.pdf' AS name FROM pages")

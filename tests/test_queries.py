@@ -42,6 +42,17 @@ def test_same_rows(spark, duck, name):
     assert sorted(repr([plain(x) for x in r]) for r in got.select(*columns).collect()) == want
 
 
+def test_missing_files_of_pages_that_share_an_address(spark, tmp_path):
+    urls = ["http://x/a", "http://x/a", None, "ftp://x/b", "/data/http://x/a", ""]
+    rows = [(k, urls[k % len(urls)], "") for k in range(-60, 60)] + [(7, "http://x/7", ""), (7, "http://x/7", ""), (None, "http://x/n", "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    want = sorted(con.execute(queries.SQL["missing_files_anti"]).fetchall(), key=repr)
+    assert len(want) > 5
+    assert sorted((tuple(r) for r in queries.QUERIES["missing_files_anti"](spark, str(tmp_path)).collect()), key=repr) == want
+
+
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.SQL)))
 def test_rows(spark, name):
     assert queries.QUERIES[name](spark, SF).count() > 0
