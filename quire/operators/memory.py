@@ -192,9 +192,17 @@ def call_engine(texts: DataFrame, engine: Engine, threads: int = 4) -> DataFrame
             except Exception as failure:  # noqa: BLE001  kept as the row's status
                 return text, None, f"failed: {failure}"
 
+        def work(texts: list[str], places: Iterator[int], out: list) -> None:
+            for k in places:  # threads take the next text from one iterator; no future a text
+                out[k] = one(texts[k])
+
         with ThreadPoolExecutor(max(1, threads)) as pool:
             for batch in batches:
-                yield pd.DataFrame(list(pool.map(one, batch["text"])), columns=["text", "translation", "status"])
+                texts, out = batch["text"].tolist(), [None] * len(batch)
+                places = iter(range(len(texts)))
+                for running in [pool.submit(work, texts, places, out) for _ in range(max(1, threads))]:
+                    running.result()
+                yield pd.DataFrame(out, columns=["text", "translation", "status"])
 
     tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, long waits: tasks are not merged
     return texts.select("text").repartition(tasks, "text").mapInPandas(run, TRANSLATED)

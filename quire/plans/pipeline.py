@@ -83,11 +83,15 @@ def translate_pages(
     if boxes is not None:
         source = (layout.with_document_boxes if read else layout.with_boxes)(source, boxes, class_names, *size)
     # Read by the memory's lookup, by the join with its answers and by typesetting.
-    parts, _ = written(segment.segment(source, page_width or options.page_width, options.rules, read, options.pages), "segments")
+    parts, _ = written(segment.segment(source, page_width or options.page_width, options.rules, read, options.pages, pack=True), "segments")
     key = ["doc_id", "pageno", "container"]
     paragraphs = parts.select(*key, F.explode("paragraphs").alias("p")).select(*key, "p.para_idx", "p.text")
     texts = assemble.joined_paragraphs(memory.translate(paragraphs, engine, store, options.ignore_cache, options.threads).withColumn("translation", F.coalesce("translation", "text")))
-    return typeset.typeset(parts.join(texts, key), metrics, options.lang_out, done)
+    # Few bytes, much work: as many tasks as the session has shuffle partitions, not fewer. The
+    # join takes them as they are dealt, and sorts nothing.
+    tasks = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = parts.select(*key, "packed").repartition(tasks, *key)
+    return typeset.typeset(dealt.join(texts.hint("shuffle_hash"), key), metrics, options.lang_out, done)
 
 
 def translate_files(files: DataFrame, boxes: DataFrame | None, class_names: DataFrame | None, engine: memory.Engine, options: Options, store: memory.Memory | None = None, wide: pdf.WideFont | None = None, done: Accumulator | None = None) -> DataFrame:
