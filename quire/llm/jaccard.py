@@ -54,7 +54,7 @@ BLOCK_CLASSES, BLOCK_TOKENS = 256, 1 << 18
 #: Classes of a group that every block of it is compared with.
 PIVOTS = 4
 STEP, ORDERS = 1 << 19, 3
-#: Up to so many ids, a list of them is broadcast (8 bytes each).
+#: Up to so many rows, a list of ids or groups is broadcast (five numbers each at most).
 BROADCAST_IDS = 200_000
 #: Tokens in a prefix for each one that a partner must share, beyond the least prefix.
 SHARED = 12
@@ -255,6 +255,11 @@ def _held(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
+def _small(listed: DataFrame) -> DataFrame:
+    """Broadcast up to a bound, so that what it is joined with stays where it lies."""
+    return F.broadcast(listed) if listed.count() <= BROADCAST_IDS else listed
+
+
 def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH, percent: int = PERCENT, small: int = SMALL, salt: int = 0) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id of every row of docs."""
     spark = docs.sparkSession
@@ -290,24 +295,25 @@ def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width:
     blocks = sized.groupBy(F.col("root").alias("r")).agg(F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"))
     placed, blocked = written(sized.join(blocks, F.col("root") == F.col("r")).select(F.col("node").alias("cls"), "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")), "blocks")
 
-    # The sets of the classes that are compared at all, from one text of each.
-    wanted, asked = written(classes.join(placed.select("cls"), "cls", "left_semi").select(F.col("at.id").alias("k"), F.col("at.version").alias("v"), F.col("cls").alias("want")), "wanted")
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    texts = narrow.join(wanted, (key == F.col("k")) & (F.col("version") == F.col("v"))).select("want", "text")
+    # The sets of the classes that are compared at all, from one text of each, with group and
+    # block: so sets meet their tasks without a shuffle of their own.
+    wanted, asked = written(classes.join(placed.select(F.col("cls").alias("want"), "root", "block"), F.col("cls") == F.col("want")).select(F.col("at.id").alias("k"), F.col("at.version").alias("v"), "want", "root", "block"), "wanted")
+    texts = narrow.join(_small(wanted), (key == F.col("k")) & (F.col("version") == F.col("v"))).select("want", "text", "root", "block")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # rows of one id and text come once from a task
         for batch in batches:
-            want, cls, sets = batch.column(0).to_pylist(), [], []
+            want, at, sets = batch.column(0).to_pylist(), [], []
             for k, s in token_sets(batch.column(1), width, salt):
                 if want[k] not in seen and len(s) and digest(s)[0] == want[k]:
                     seen.add(want[k])
-                    cls.append(want[k])
+                    at.append(k)
                     sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(sets, pa.binary())], names=["cls", "tokens"])
+            kept = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(kept) for c in (0, 2, 3)], pa.array(sets, pa.binary())], names=["cls", "root", "block", "tokens"])
 
     # Not made distinct: a class comes once from a task, and a comparison takes it once.
-    sets, held_sets = written(map_batches(texts, gather, "cls long, tokens binary"), "sets")
+    sets, held_sets = written(map_batches(texts, gather, "cls long, root long, block int, tokens binary"), "sets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         o = orders.value
@@ -335,21 +341,22 @@ def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width:
     def compared(met: DataFrame) -> DataFrame:
         """Links among the classes of each task (root, i, j) that involve one that asks."""
         task = ["root", "i", "j"]
-        tasks = met.join(sets, "cls").select(*task, "ask", "cls", "tokens").repartition(*task).sortWithinPartitions(*task, "cls")
+        tasks = met.select(*task, "ask", "cls", "tokens").repartition(*task).sortWithinPartitions(*task, "cls")
         return map_batches(tasks, compare, "a long, b long")
 
     yes, no = F.lit(True).alias("ask"), F.lit(False).alias("ask")
-    own = placed.select("cls", "root", F.col("block").alias("i"))
+    own = sets.select("root", F.col("block").alias("i"), F.col("block").alias("j"), yes, "cls", "tokens")
     wide = placed.where("blocks > 1")
     done = [postings, blocked, asked, held_sets]
     if not wide.limit(1).count():  # every group is one block, compared with itself
-        roots = components(compared(own.select("cls", "root", "i", F.col("i").alias("j"), yes)))
+        roots = components(compared(own))
     else:
         # Each block with itself and the pivots of its group.
         pivots = [F.min(F.struct(F.xxhash64("cls", F.lit(f"pivot {k}")), "cls"))["cls"] for k in range(PIVOTS)]
         first_few = wide.groupBy("root").agg(F.array_distinct(F.array(*pivots)).alias("cls"), F.first("blocks").alias("blocks"))
-        everywhere = first_few.select(F.explode("cls").alias("cls"), "root", "blocks").select("cls", "root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
-        inside, links_a = written(compared(own.union(everywhere).distinct().select("cls", "root", "i", F.col("i").alias("j"), yes)), "links")
+        chosen, few_path = written(first_few.select(F.explode("cls").alias("pivot"), "blocks"), "pivots")
+        spread = sets.join(_small(chosen), F.col("cls") == F.col("pivot")).select("root", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), "cls", "tokens")
+        inside, links_a = written(compared(own.unionByName(spread.select("root", "i", F.col("i").alias("j"), yes, "cls", "tokens"))), "links")
         # What is not in the largest component of its group then meets all blocks of the group.
         part = components(inside).select(F.col("node").alias("n"), F.col("root").alias("p"))
         parts, partly = written(wide.join(part, F.col("cls") == F.col("n"), "left").select("cls", "root", "blocks", "block", F.coalesce("p", "cls").alias("part")), "parts")
@@ -358,10 +365,12 @@ def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width:
         loose = parts.join(largest, F.col("root") == F.col("r")).where("part <> most").drop("r", "most")
         many, _ = written(loose.groupBy(F.col("root").alias("r")).agg(F.ceil(F.count("*") / BLOCK_CLASSES).cast("int").alias("asking")), "asking")
         outside, outer = written(loose.join(many, F.col("root") == F.col("r")).select("cls", "root", "blocks", F.pmod(F.xxhash64("cls", F.lit("ask")), F.col("asking")).cast("int").alias("i")), "outside")
-        asking = outside.select("cls", "root", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), yes)
-        asked_of = parts.join(many, F.col("root") == F.col("r")).select("cls", "root", F.explode(F.sequence(F.lit(0), F.col("asking") - 1)).alias("i"), F.col("block").alias("j"), no)
+        met = sets.join(_small(many), F.col("root") == F.col("r"))  # sets of such groups only
+        asked_of = met.select("root", F.explode(F.sequence(F.lit(0), F.col("asking") - 1)).alias("i"), F.col("block").alias("j"), no, "cls", "tokens")
+        asks = met.join(_small(outside.select(F.col("cls").alias("asker"), "blocks", "i")), F.col("cls") == F.col("asker"))
+        asking = asks.select("root", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), yes, "cls", "tokens")
         roots = components(inside.unionByName(compared(asking.unionByName(asked_of))))
-        done += [links_a, partly, outer]
+        done += [links_a, partly, outer, few_path]
     for path in done:  # the links are written; nothing reads these again
         forget(spark, path)
     labelled = classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))

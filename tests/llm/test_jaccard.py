@@ -89,6 +89,29 @@ def test_bridges_between_blocks_of_a_group(spark, monkeypatch):
     assert sorted(tuple(r)[:3] for r in jaccard.similar(docs, small=3).collect()) == brute(rows)
 
 
+@pytest.mark.parametrize("block", [8, 10**6])
+def test_sets_meet_their_tasks_without_a_shuffle_of_their_own(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK_CLASSES", block)
+    plans, mapped = [], jaccard.map_batches
+
+    def seen(df, function, schema):
+        if schema == "a long, b long":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return mapped(df, function, schema)
+
+    monkeypatch.setattr(jaccard, "map_batches", seen)
+    rows = corpus(18, groups=3, copies=60)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(tuple(r)[:3] for r in jaccard.similar(docs, small=3).collect()) == brute(rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(plans) == (2 if block == 8 else 1)
+    assert all(p.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in p for p in plans)
+
+
 def test_links_of_a_block_are_a_spanning_forest():
     r = random.Random(16)
     orders = jaccard.Orders(np.zeros(0, np.uint64), np.zeros(0, np.int64), 85)
